@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benefactor.llm import hashing
@@ -49,10 +49,11 @@ class JoinParams:
     table: int = 1 << 20  # shingles with a frequency class, sent to every worker (8 bytes each)
     verify_cost: float = 20.0  # of a pair, in scanned prefix entries
     max_match: int = 64
-    range_bytes: int = 24 << 20  # of text, for each range of shingles
+    range_bytes: int = 6 << 20  # of text, for each range of shingles
     broadcast_rows: int = 1 << 20  # ids or pairs that may be broadcast; beyond it joins shuffle
-    rounds: int = 8  # hub rounds at most
-    open_pairs: float = 4.0  # listed pairs that end the hub rounds, times the prefix entries
+    rounds: int = 1  # hub rounds before what remains open is listed
+    hubs: int = 16  # of a bucket in a round
+    tries: int = 4  # hubs that a document is verified against in a round
 
 
 # ---- packed arrays -------------------------------------------------------------------------
@@ -142,7 +143,7 @@ def frequencies(docs: DataFrame, total_bytes: int, params: JoinParams) -> Freque
             for s in _sets(batch, 0, width):
                 held.append(s >> shift)
                 size += len(s)
-                if size >= 1 << 21:
+                if size >= 1 << 20:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -185,8 +186,8 @@ def _count(blob: bytes) -> int:
 # ---- 2. prefixes and buckets ---------------------------------------------------------------
 
 
-def adaptive_prefix(tokens: np.ndarray, table: FrequencyTable, params: JoinParams) -> tuple[int, np.ndarray]:
-    """The number of matches to demand, l, and the first n - o + l shingles, sorted by value."""
+def adaptive_prefix(tokens: np.ndarray, table: FrequencyTable, params: JoinParams) -> tuple[int, int, np.ndarray]:
+    """The number of matches to demand, l; where the first n - o + l shingles end in the order; they, sorted by value."""
     n = len(tokens)
     least = -(-n * params.numerator // params.denominator)
     base = n - least
@@ -197,13 +198,15 @@ def adaptive_prefix(tokens: np.ndarray, table: FrequencyTable, params: JoinParam
     cost = np.cumsum(np.where(classes[head] > 0, 1.5 * 2.0 ** classes[head], table.rest))
     match = np.arange(1, most + 1)
     best = int(np.argmin(cost[base : base + most] * (1 + params.verify_cost / match))) + 1
-    return best, np.sort(tokens[head[: base + best]])
+    last = head[base + best - 1]
+    edge = int(classes[last]) << 57 | int(tokens[last]) >> 7  # class, then value: a positive long
+    return best, edge, np.sort(tokens[head[: base + best]])
 
 
 def prefixes(docs: DataFrame, table: FrequencyTable, params: JoinParams) -> DataFrame:
-    """doc_id, n, key (16 bytes of the set; null if empty), match and prefix of every text."""
+    """doc_id, n, key (16 bytes of the set; null if empty), match, edge and prefix of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    names = ["doc_id", "n", "key", "match", "prefix"]
+    names = ["doc_id", "n", "key", "match", "edge", "prefix"]
 
     def run(batches):
         table = shared.value
@@ -211,76 +214,77 @@ def prefixes(docs: DataFrame, table: FrequencyTable, params: JoinParams) -> Data
             rows = []
             for s in _sets(batch, 1, params.width):
                 if len(s):
-                    match, prefix = adaptive_prefix(s, table, params)
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), match, prefix.tobytes()))
+                    match, edge, prefix = adaptive_prefix(s, table, params)
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), match, edge, prefix.tobytes()))
                 else:
-                    rows.append((0, None, 0, None))
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
+                    rows.append((0, None, 0, 0, None))
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, match int, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, match int, edge long, prefix binary")
+
+
+_FLIP = np.uint64(1 << 63)  # signed ids in the order of unsigned ones
 
 
 def buckets(reps: DataFrame, ranges: int) -> DataFrame:
-    """token, doc, n, match of all prefix entries whose shingle stands in two prefixes or more."""
+    """token and doc of all prefix entries whose shingle stands in two prefixes or more."""
 
     def deal(batches):
         for batch in batches:
-            docs, ns, matches = (np.array(batch.column(i).to_pylist(), np.int64) for i in range(3))
-            tokens = [np.frombuffer(p, np.uint64) for p in batch.column(3).to_pylist()]
+            docs = np.array(batch.column(0).to_pylist(), np.int64).view(np.uint64)
+            tokens = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(1)]
             at = 0
             while at < len(tokens):
                 end, size = at, 0
-                while end < len(tokens) and (end == at or size + len(tokens[end]) <= 1 << 20):
+                while end < len(tokens) and (end == at or size + len(tokens[end]) <= 1 << 18):
                     size += len(tokens[end])
                     end += 1
                 every = np.concatenate(tokens[at:end])
-                owner = np.repeat(np.arange(at, end), [len(t) for t in tokens[at:end]])
+                owner = np.repeat(docs[at:end], [len(t) for t in tokens[at:end]])
                 order = np.argsort(every, kind="stable")
                 every, owner = every[order], owner[order]
+                negative = bool((owner >= _FLIP).any())
                 place = _range_of(every, 64, ranges)
                 edges = np.append(_runs(place), len(every))
-                flip = np.uint64(1 << 63)
                 rows = [
-                    (int(place[a]), _ascending(every[a:b]), _planes(docs[owner[a:b]].view(np.uint64) ^ flip if (docs < 0).any() else docs[owner[a:b]]), bool((docs < 0).any()), _planes(ns[owner[a:b]]), _planes(matches[owner[a:b]]))
+                    (int(place[a]), _ascending(every[a:b]), _planes(owner[a:b] ^ _FLIP if negative else owner[a:b]), negative)
                     for a, b in zip(edges[:-1], edges[1:], strict=True)
                 ]
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
-                names = ["range", "tokens", "docs", "flipped", "ns", "matches"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "tokens", "docs", "flipped"])
                 at = end
 
     def meet(table: pa.Table) -> pa.Table:
-        flip = np.uint64(1 << 63)
         tokens = np.concatenate([_unascending(b.as_py()) for b in table["tokens"]])
-        docs = np.concatenate([_unplanes(b.as_py()) ^ (flip if f.as_py() else np.uint64(0)) for b, f in zip(table["docs"], table["flipped"], strict=True)])
-        ns = np.concatenate([_unplanes(b.as_py()) for b in table["ns"]])
-        matches = np.concatenate([_unplanes(b.as_py()) for b in table["matches"]])
+        docs = np.concatenate([_unplanes(b.as_py()) ^ (_FLIP if f.as_py() else np.uint64(0)) for b, f in zip(table["docs"], table["flipped"], strict=True)])
         order = np.argsort(tokens, kind="stable")
         ordered = tokens[order]
         first = _runs(ordered)
         sizes = np.diff(first, append=len(ordered))
         kept = order[np.repeat(sizes > 1, sizes)]
-        return pa.table(
-            {
-                "token": pa.array(tokens[kept].view(np.int64)),
-                "doc": pa.array(docs[kept].view(np.int64)),
-                "n": pa.array(ns[kept].astype(np.int32)),
-                "match": pa.array(matches[kept].astype(np.int32)),
-            }
-        )
+        return pa.table({"token": pa.array(tokens[kept].view(np.int64)), "doc": pa.array(docs[kept].view(np.int64))})
 
-    dealt = reps.select("doc", "n", "match", "prefix").mapInArrow(deal, "range int, tokens binary, docs binary, flipped boolean, ns binary, matches binary")
-    return dealt.groupBy("range").applyInArrow(meet, "token long, doc long, n int, match int")
+    dealt = reps.select("doc", "prefix").mapInArrow(deal, "range int, tokens binary, docs binary, flipped boolean")
+    return dealt.groupBy("range").applyInArrow(meet, "token long, doc long")
 
 
-def possible(entries: DataFrame) -> DataFrame:
-    """Entries of documents that share enough of them for some partner in their buckets."""
+def possible(entries: DataFrame, params: JoinParams) -> DataFrame:
+    """doc and reach of the documents that share enough entries with some partner in their buckets.
+
+    reach bounds the overlap with any document whose prefix ends later in the order: such a one
+    has what it shares of this prefix in its own, so entries that stand in no other prefix are
+    not shared, and the rest is the suffix.
+    """
+    # a pair of x shares at most as many entries as x has in buckets
     fewest = entries.groupBy("token").agg(F.min("match").alias("fewest"))
-    # the largest count any pair of x can reach is x's number of shared entries
-    need = entries.join(fewest, "token").groupBy("doc").agg(F.count("*").alias("entries"), F.min("fewest").alias("need"))
-    return need.where(F.col("entries") >= F.col("need")).select("doc")
+    each = entries.join(fewest, "token").groupBy("doc").agg(
+        F.count("*").alias("entries"), F.min("fewest").alias("need"), F.max("n").alias("n"), F.max("match").alias("match")
+    )
+    length = F.col("n") - F.ceil(F.col("n") * params.numerator / params.denominator - 1e-9) + F.col("match")
+    reach = F.least(F.col("n"), F.col("n") - length + F.col("entries"))
+    return each.where(F.col("entries") >= F.col("need")).select("doc", reach.cast("int").alias("reach"))
 
 
 # ---- 3. and 4. verification and components -------------------------------------------------
@@ -327,7 +331,8 @@ def verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, params: JoinParams
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (doc, comp) after joining the components of linked documents; comp is the least.
 
-    Each round hooks every component to its least neighbour and halves the pointers twice.
+    Each round hooks every component to its least neighbour and follows the pointers twice, so
+    that chains shrink by their power; labels are rewritten lazily and checkpointed once.
     """
     a = labels.select(F.col("doc").alias("x"), F.col("comp").alias("cx"))
     b = labels.select(F.col("doc").alias("y"), F.col("comp").alias("cy"))
@@ -338,76 +343,87 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
         for _ in range(2):
             jump = up.select(F.col("c").alias("p"), F.col("p").alias("pp"))
             up = up.join(jump, "p", "left").select("c", F.coalesce("pp", "p").alias("p"))
-        up = cut_lineage(up)
-        labels = cut_lineage(labels.join(up.select(F.col("c").alias("comp"), "p"), "comp", "left").select("doc", F.coalesce("p", "comp").alias("comp")))
+        labels = labels.join(up.select(F.col("c").alias("comp"), "p"), "comp", "left").select("doc", F.coalesce("p", "comp").alias("comp"))
         lows = up.select(F.col("c").alias("low"), F.col("p").alias("pl"))
         highs = up.select(F.col("c").alias("high"), F.col("p").alias("ph"))
         edges = cut_lineage(
             edges.join(lows, "low").join(highs, "high").where("pl <> ph").select(F.least("pl", "ph").alias("low"), F.greatest("pl", "ph").alias("high")).distinct()
         )
-    return labels
+    return cut_lineage(labels)
 
 
-def _sized(params: JoinParams):
-    """The smaller set must reach the threshold of the larger; shared entries the lesser demand."""
-    return (
-        F.least("nx", "ny") * params.denominator >= F.greatest("nx", "ny") * params.numerator
-    )
+def _earlier(x: Column, y: Column) -> Column:
+    """The value of the document whose prefix ends earlier in the order; the greater one if they end alike."""
+    return F.when(F.col("ex") < F.col("ey"), x).when(F.col("ey") < F.col("ex"), y).otherwise(F.greatest(x, y))
+
+
+def _fits(params: JoinParams) -> Column:
+    """Whether the overlap that can be reached at most is enough for the sizes."""
+    sizes = F.least("nx", "ny") * params.denominator >= F.greatest("nx", "ny") * params.numerator
+    most = F.least(_earlier(F.col("rx"), F.col("ry")), "nx", "ny")
+    return sizes & (most * (params.denominator + params.numerator) >= (F.col("nx") + F.col("ny")) * params.numerator)
+
+
+def _need(params: JoinParams) -> Column:
+    """Prefix entries that a pair must share: the lesser demand of the two, and what the overlap
+    that the sizes ask for has beyond the suffix of the prefix that ends earlier."""
+
+    def rest(n: str, match: str) -> Column:
+        return F.ceil(F.col(n) * params.numerator / params.denominator - 1e-9) - F.col(match)
+
+    overlap = F.ceil((F.col("nx") + F.col("ny")) * params.numerator / (params.denominator + params.numerator) - 1e-9)
+    return F.greatest(F.least("mx", "my"), overlap - _earlier(rest("nx", "mx"), rest("ny", "my")))
 
 
 def components(docs: DataFrame, entries: DataFrame, params: JoinParams) -> DataFrame:
     """doc and comp of every document with prefix entries in buckets."""
-    active = cut_lineage(possible(entries))
+    first = cut_lineage(possible(entries, params).select("doc"))
+    held = entries.join(_small(first, first.count(), params), "doc", "left_semi")
+    several = held.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    held = cut_lineage(held.join(several, "token", "left_semi"))
+    active = cut_lineage(possible(held, params))
     n_active = active.count()
-    own = entries.join(_small(active, n_active, params), "doc", "left_semi")
-    entries = cut_lineage(own)
-    n_entries = entries.count()
+    entries = cut_lineage(held.join(_small(active, n_active, params), "doc"))
     sets = cut_lineage(token_sets(docs, active, n_active, params))
     labels = cut_lineage(active.select("doc", F.col("doc").alias("comp")))
-
     for turn in range(params.rounds + 1):
         marked = entries.join(_small(labels, n_active, params), "doc")
-        cells = marked.groupBy("token", "comp").agg(F.count("*").alias("m"))
-        cross = cells.groupBy("token").agg(
-            F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.count("*").alias("comps")
-        ).where("comps > 1")
-        pairs_left = cross.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.lit(0.0))).first()[0]
-        if not pairs_left:
-            break
-        listed = turn == params.rounds or pairs_left <= params.open_pairs * n_entries
-        if listed:
-            pairs = _listed(marked, cross, params)
-        else:
-            pairs = _to_hubs(marked, cross, turn, params)
-        pairs = cut_lineage(pairs)
+        open_ = marked.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+        marked = marked.join(open_, "token", "left_semi")
+        pairs = cut_lineage(_listed(marked, params) if turn == params.rounds else _to_hubs(marked, turn, params))
         n_pairs = pairs.count()
         if n_pairs:
             labels = contract(labels, verified(pairs, n_pairs, sets, params))
-        if listed:
-            break
     return labels
 
 
-def _to_hubs(marked: DataFrame, cross: DataFrame, turn: int, params: JoinParams) -> DataFrame:
-    """x and y: for each document the hub of another component with which it shares most entries."""
+def _to_hubs(marked: DataFrame, turn: int, params: JoinParams) -> DataFrame:
+    """x and y: for each document the hubs of other components with which it shares most entries.
+
+    A bucket's documents are dealt into `hubs` slots by a hash; the least hash of each is a hub.
+    """
     chance = F.xxhash64("doc", F.lit(turn))
-    hubs = marked.groupBy("token").agg(F.min(F.struct(chance.alias("p"), F.col("doc"), F.col("comp"), F.col("n"), F.col("match"))).alias("h"))
-    hubs = hubs.join(cross.select("token"), "token", "left_semi").select(
-        "token", F.col("h.doc").alias("y"), F.col("h.comp").alias("cy"), F.col("h.n").alias("ny"), F.col("h.match").alias("my")
+    hubs = marked.groupBy("token", F.pmod(chance, F.lit(params.hubs)).alias("slot")).agg(
+        F.min(F.struct(chance.alias("p"), "doc", "comp", "n", "match", "edge", "reach")).alias("h")
     )
-    met = marked.join(hubs, "token").where(F.col("comp") != F.col("cy")).withColumnsRenamed({"doc": "x", "n": "nx", "match": "mx"})
-    shared = met.where(_sized(params)).groupBy("x", "y").agg(F.count("*").alias("shared"), F.min(F.least("mx", "my")).alias("need"))
+    hubs = hubs.select(
+        "token", F.col("h.doc").alias("y"), F.col("h.comp").alias("cy"), F.col("h.n").alias("ny"),
+        F.col("h.match").alias("my"), F.col("h.edge").alias("ey"), F.col("h.reach").alias("ry"),
+    )
+    x = marked.withColumnsRenamed({"doc": "x", "comp": "cx", "n": "nx", "match": "mx", "edge": "ex", "reach": "rx"})
+    met = x.join(hubs, "token").where((F.col("cx") != F.col("cy")) & _fits(params))
+    shared = met.groupBy("x", "y").agg(F.count("*").alias("shared"), F.min(_need(params)).alias("need"))
     enough = shared.where(F.col("shared") >= F.col("need"))
-    return enough.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    best = enough.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "y")), False), 1, params.tries).alias("best"))
+    return best.select("x", F.explode("best.y").alias("y"))
 
 
-def _listed(marked: DataFrame, cross: DataFrame, params: JoinParams) -> DataFrame:
+def _listed(marked: DataFrame, params: JoinParams) -> DataFrame:
     """All pairs of documents in different components that share enough prefix entries."""
-    open_ = marked.join(cross.select("token"), "token", "left_semi")
-    x = open_.select("token", F.col("doc").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("match").alias("mx"))
-    y = open_.select("token", F.col("doc").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("match").alias("my"))
-    met = x.join(y, "token").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _sized(params))
-    shared = met.groupBy("x", "y").agg(F.count("*").alias("shared"), F.min(F.least("mx", "my")).alias("need"))
+    x = marked.withColumnsRenamed({"doc": "x", "comp": "cx", "n": "nx", "match": "mx", "edge": "ex", "reach": "rx"})
+    y = marked.withColumnsRenamed({"doc": "y", "comp": "cy", "n": "ny", "match": "my", "edge": "ey", "reach": "ry"})
+    met = x.join(y, "token").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _fits(params))
+    shared = met.groupBy("x", "y").agg(F.count("*").alias("shared"), F.min(_need(params)).alias("need"))
     return shared.where(F.col("shared") >= F.col("need")).select("x", "y")
 
 
@@ -417,10 +433,12 @@ def similarity_components(docs: DataFrame, params: JoinParams = JoinParams()) ->
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     table = frequencies(rows, total, params)
     own = cut_lineage(prefixes(rows, table, params))
-    first = F.min(F.struct(F.col("doc_id").alias("doc"), "n", "match", "prefix"))
+    first = F.min(F.struct(F.col("doc_id").alias("doc"), "n", "match", "edge", "prefix"))
     reps = own.where("key is not null and doc_id is not null").groupBy("key").agg(first.alias("r"))
     reps = cut_lineage(reps.select("key", "r.*"))
-    entries = cut_lineage(buckets(reps, max(1, -(-total // (2 * params.range_bytes)))))
+    shared = buckets(reps, max(1, -(-total // (4 * params.range_bytes))))
+    slim = reps.groupBy("doc").agg(F.max("n").cast("int").alias("n"), F.min("match").alias("match"), F.min("edge").alias("edge"))
+    entries = cut_lineage(shared.join(slim, "doc"))
     labels = components(rows.where("doc_id is not null"), entries, params)
     classes = reps.select("key", F.col("doc").alias("class_id")).join(labels, F.col("class_id") == F.col("doc"), "left")
     classes = cut_lineage(classes.select(F.col("key").alias("its_key"), "class_id", F.coalesce("comp", "class_id").alias("component_id")))
