@@ -60,8 +60,11 @@ def boilerplate(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     )
     spread = seen.groupBy("hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(params.lg_k))).alias("sites"))
     error = params.errors * 1.04 / 2 ** (params.lg_k / 2)
-    wide = spread.where(F.col("sites") >= params.sites * (1 - error)).select(
-        F.col("hash").alias("wide"), (F.col("sites") < params.sites * (1 + error)).alias("near")
+    # checkpointed, so that the join's both sides are plain exchanges and a hot line can be split
+    wide = cut_lineage(
+        spread.where(F.col("sites") >= params.sites * (1 - error)).select(
+            F.col("hash").alias("wide"), (F.col("sites") < params.sites * (1 + error)).alias("near")
+        )
     )
     met = cut_lineage(
         seen.join(wide, F.col("hash") == F.col("wide")).groupBy("doc_id", "site", "hash").agg(F.first("near").alias("near"))
