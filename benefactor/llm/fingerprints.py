@@ -34,7 +34,7 @@ class FingerprintParams:
     width: int = 5  # words in a shingle
     bins: int = 256  # a power of two
     bits: int = 8
-    rows_per_range: int = 8192  # documents in a range of ids
+    rows_per_range: int = 4096  # documents in a range of ids
     max_ranges: int = 2000  # beyond it ranges grow; each is sorted with spilling and streamed
 
 
@@ -139,9 +139,10 @@ def with_next(docs: DataFrame, params: FingerprintParams = FingerprintParams())
     own = F.struct(F.col("range"), F.lit(0).alias("guest"))
     guest = F.struct(goes[F.col("range")].alias("range"), F.lit(1).alias("guest"))
     twice = ranged.withColumn("to", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))))
+    # a partition for each range: by number, not by hash, which would put several ranges into one
     laid = (
         twice.select("doc_id", "text", "key", F.col("to.range").alias("range"), F.col("to.guest").alias("guest"))
-        .repartition(len(order), "range")
+        .repartitionById(len(cuts) + 1, F.col("range"))
         .sortWithinPartitions("range", "guest", F.desc("key"), "text")
     )
 
