@@ -383,7 +383,7 @@ def components(docs: DataFrame, entries: DataFrame, params: JoinParams) -> DataF
     held = cut_lineage(held.join(several, "token", "left_semi"))
     active = cut_lineage(possible(held, params))
     n_active = active.count()
-    entries = cut_lineage(held.join(_small(active, n_active, params), "doc"))
+    entries = cut_lineage(_collapsed(held.join(_small(active, n_active, params), "doc")))
     sets = cut_lineage(token_sets(docs, active, n_active, params))
     labels = cut_lineage(active.select("doc", F.col("doc").alias("comp")))
     for turn in range(params.rounds + 1):
@@ -397,6 +397,23 @@ def components(docs: DataFrame, entries: DataFrame, params: JoinParams) -> DataF
     return labels
 
 
+def _collapsed(entries: DataFrame) -> DataFrame:
+    """The entries of one token for all tokens with the same documents, and how many these are, `weight`.
+
+    Near copies share runs of shingles, whose buckets are equal; documents are compared by three
+    commutative sums of hashes, so no bucket is gathered.
+    """
+    held = cut_lineage(entries)
+    same = held.groupBy("token").agg(
+        F.count("*").alias("m"),
+        F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("a"),
+        F.bit_xor(F.xxhash64("doc", F.lit(2))).alias("b"),
+        F.sum(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(1 << 31))).alias("c"),
+    )
+    chosen = same.where("m > 1").groupBy("m", "a", "b", "c").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
+    return held.join(chosen.select("token", "weight"), "token")
+
+
 def _to_hubs(marked: DataFrame, turn: int, params: JoinParams) -> DataFrame:
     """x and y: for each document the hubs of other components with which it shares most entries.
 
@@ -412,7 +429,7 @@ def _to_hubs(marked: DataFrame, turn: int, params: JoinParams) -> DataFrame:
     )
     x = marked.withColumnsRenamed({"doc": "x", "comp": "cx", "n": "nx", "match": "mx", "edge": "ex", "reach": "rx"})
     met = x.join(hubs, "token").where((F.col("cx") != F.col("cy")) & _fits(params))
-    shared = met.groupBy("x", "y").agg(F.count("*").alias("shared"), F.min(_need(params)).alias("need"))
+    shared = met.groupBy("x", "y").agg(F.sum("weight").alias("shared"), F.min(_need(params)).alias("need"))
     enough = shared.where(F.col("shared") >= F.col("need"))
     best = enough.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "y")), False), 1, params.tries).alias("best"))
     return best.select("x", F.explode("best.y").alias("y"))
@@ -421,9 +438,9 @@ def _to_hubs(marked: DataFrame, turn: int, params: JoinParams) -> DataFrame:
 def _listed(marked: DataFrame, params: JoinParams) -> DataFrame:
     """All pairs of documents in different components that share enough prefix entries."""
     x = marked.withColumnsRenamed({"doc": "x", "comp": "cx", "n": "nx", "match": "mx", "edge": "ex", "reach": "rx"})
-    y = marked.withColumnsRenamed({"doc": "y", "comp": "cy", "n": "ny", "match": "my", "edge": "ey", "reach": "ry"})
+    y = marked.withColumnsRenamed({"doc": "y", "comp": "cy", "n": "ny", "match": "my", "edge": "ey", "reach": "ry"}).drop("weight")
     met = x.join(y, "token").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _fits(params))
-    shared = met.groupBy("x", "y").agg(F.count("*").alias("shared"), F.min(_need(params)).alias("need"))
+    shared = met.groupBy("x", "y").agg(F.sum("weight").alias("shared"), F.min(_need(params)).alias("need"))
     return shared.where(F.col("shared") >= F.col("need")).select("x", "y")
 
 
