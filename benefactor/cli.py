@@ -14,7 +14,7 @@ from benefactor.reports import charts, latex
 from benefactor.session import build_session
 from benefactor.sources import readers, sinks
 
-COUNTS_FILE, RATES_FILE = "openss_funder_counts_by_year", "openss_funder_percentages_by_year"
+COUNTS_FILE, RATES_FILE = "funder_counts_by_year", "funder_percentages_by_year"
 
 
 def _parser() -> argparse.ArgumentParser:

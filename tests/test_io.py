@@ -71,7 +71,7 @@ def test_programs_end_to_end(spark, store, tmp_path):
     full = readers.read_summary(spark, f"{out}/s/summary_all.csv")
     assert full.count() == 47 and readers.read_summary(spark, f"{out}/s/summary.csv").count() == full.where("data_sharing_pubs >= 3").count()
     cli.main(["trends", *common, "--registry", store, "--output-dir", f"{out}/t", "--aggregate-children"], spark)
-    wide = readers.read_wide(spark, f"{out}/t/openss_funder_counts_by_year.csv", "bigint")
+    wide = readers.read_wide(spark, f"{out}/t/funder_counts_by_year.csv", "bigint")
     assert wide.columns[0] == "display_name" and wide.columns[-1] == "total" and wide.count() == 47
     cli.main(["dashboard", "--filelist-dir", f"{store}/lists", "--rtrans-dir", f"{store}/articles", "--oddpub-file", f"{store}/detections.parquet", "--output", f"{out}/dash.parquet", "--limit", "40"], spark)
     board = spark.read.parquet(f"{out}/dash.parquet")
