@@ -4,8 +4,10 @@ A HyperLogLog sketch of the sites is built for each line hash and merged by aggr
 whose estimate is clearly at or over the threshold are boilerplate; those within the sketch's
 error of it get an exact distinct count. Boilerplate lines are taken out of all documents.
 
-A document of which more than `most_removed` of the words would go is a copy that many sites
-hold, not a page with a frame of boilerplate: it is left whole, for near-duplicate removal.
+A document of which more than `most_removed` of the words would go may be a copy that many sites
+hold, not a page with a frame of boilerplate. `clean_lines` (the pipeline's stage) leaves it whole, for
+near-duplicate removal, only if another such document has its text or links with it in the n-gram
+join; all others lose their lines. `dedup_lines` (op2) follows its SQL, which exempts without proof.
 
 Lines are cut at line feeds and compared without spaces, tabs and carriage returns around them; lines of
 fewer than `min_words` words are never boilerplate. Two 64-bit hashes stand for a line.
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benefactor.llm.common import PLAIN_WORD, cut_lineage, pick
+from benefactor.llm.ngram_join import JoinParams, similarity_components
 
 
 @dataclass(frozen=True)
@@ -78,9 +81,34 @@ def boilerplate(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     return kept.groupBy("doc_id").agg(F.collect_set("hash").alias("lines"))
 
 
+def with_copies(docs: DataFrame, lines: DataFrame, params: LineParams, join: JoinParams) -> DataFrame:
+    """`lines` and, in `copies`, the hashes of a document's texts that are proven copies.
+
+    Only texts that would lose too much are compared, with one another: a partner outside of them is
+    cleaned itself, and near-duplicate removal finds the cleaned pair.
+    """
+    over = _cleaned(docs.select("doc_id", "text"), lines, params).where("__whole")
+    over = cut_lineage(over.select("doc_id", "text", _hash(F.col("text")).alias("hash")))
+    absent = F.sum(F.col("doc_id").isNull().cast("long"))
+    several = (F.min("doc_id") < F.max("doc_id")) | (absent > 1) | ((absent > 0) & F.min("doc_id").isNotNull())
+    texts = over.groupBy("hash").agg(F.first("text").alias("text"), F.coalesce(several, F.lit(False)).alias("several"))
+    texts = cut_lineage(texts.withColumn("doc_id", F.monotonically_increasing_id()))
+    found = similarity_components(texts.select("doc_id", "text"), join).select("doc_id", "component_id")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
+    linked = found.join(groups, "component_id", "left_semi").select(F.col("doc_id").alias("linked"))
+    proven = texts.join(linked, F.col("doc_id") == F.col("linked"), "left").where("several or linked is not null")
+    copies = over.join(proven.select(F.col("hash").alias("sure")), F.col("hash") == F.col("sure"), "left_semi")
+    copies = copies.groupBy(F.col("doc_id").alias("own")).agg(F.collect_set("hash").alias("copies"))
+    return cut_lineage(lines.join(copies, F.col("doc_id").eqNullSafe(F.col("own")), "left").drop("own"))
+
+
 def _cleaned(docs: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
-    """`docs` with __clean, __removed (lines) and __whole (whether it was left whole)."""
-    own = lines.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
+    """`docs` with __clean, __removed (lines) and __whole (whether it was left whole).
+
+    Where `lines` has `copies`, only these texts are left whole.
+    """
+    proven = "copies" in lines.columns
+    own = lines.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"), *([F.col("copies").alias("__copies")] if proven else []))
     met = docs.join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     all_lines = F.split("text", "\n")
 
@@ -93,12 +121,14 @@ def _cleaned(docs: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame
     met = met.withColumn("__left", left).withColumn("__text", F.array_join("__left", "\n"))
     words = _words(F.col("text"))
     much = (words - F.coalesce(_words(F.col("__text")), F.lit(0))) > words * F.lit(params.most_removed)
+    if proven:
+        much = much & F.array_contains("__copies", _hash(F.col("text")))
     met = met.withColumn("__whole", F.coalesce(touched & much, F.lit(False)))
     change = touched & ~F.col("__whole")
     return (
         met.withColumn("__clean", F.when(change, F.col("__text")).otherwise(F.col("text")))
         .withColumn("__removed", F.when(change, F.size(all_lines) - F.size("__left")).otherwise(F.lit(0)).cast("long"))
-        .drop("__id", "__lines", "__left", "__text")
+        .drop("__id", "__lines", "__copies", "__left", "__text")
     )
 
 
@@ -116,13 +146,17 @@ def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     )
 
 
-def clean_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """All rows and columns of `docs`, the texts cleaned and n_chars, if there, counted anew."""
+def clean_lines(docs: DataFrame, params: LineParams = LineParams(), join: JoinParams = JoinParams()) -> DataFrame:
+    """All rows and columns of `docs`, the texts cleaned and n_chars, if there, counted anew.
+
+    join: what near-duplicate removal links by; a text is left whole only as a copy by it.
+    """
     names = list(docs.columns)
     held = ("doc_id", "text", "source", "n_chars")
     plain = docs.toDF(*[n if names.index(n) == i and n in held else f"__c{i}" for i, n in enumerate(names)])
     rows = pick(docs, "doc_id", "text", "source").withColumn("site", F.col("source").cast("string"))
-    clean = _cleaned(plain, boilerplate(rows.select("doc_id", "text", "site"), params), params)
+    lines = cut_lineage(boilerplate(rows.select("doc_id", "text", "site"), params))
+    clean = _cleaned(plain, with_copies(rows, lines, params, join), params)
     out = []
     for c in plain.columns:
         if c == "text":

@@ -350,6 +350,19 @@ def test_line_dedup_near_threshold_is_exact(spark):
     assert got[1000]["left_whole"] and got[1000]["n_removed"] == 0
 
 
+def test_clean_lines_exempts_only_copies(spark):
+    """A passage of two thirds of each text goes; near and exact copies on many sites stay whole."""
+    passage = "\n".join(" ".join(f"shared{10 * k + j}" for j in range(10)) for k in range(20))
+    copied = "\n".join(" ".join(f"copied{10 * k + j}" for j in range(10)) for k in range(20))
+    own = {s: " ".join(f"own{s}x{j}" for j in range(100)) for s in range(12)}
+    rows = [(s, f"{passage}\n{own[s]}", f"s{s}") for s in range(12)]
+    rows += [(100 + s, f"{copied}\nedited {s} here", f"s{s}") for s in range(12)]
+    rows += [(200 + s, "one whole copied text on every site\nwith two lines of words", f"s{s}") for s in range(12)]
+    got = by_id(line_dedup.clean_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert {s: got[s]["text"] for s in range(12)} == own
+    assert all(got[i]["text"] == text for i, text, _ in rows if i >= 100)
+
+
 def test_pipeline_runs(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     got = corpus_pipeline.run(spark, DATA)
