@@ -103,7 +103,9 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
         w -= params.rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(size, np.float32)
     weights[used] = w[:-1]
-    return weights, float(w[-1])
+    # few features cannot tell the positives that lack them, and the bias makes up for it; a text
+    # without any feature is no more likely positive than the class is
+    return weights, float(min(w[-1], np.log(prior / (1 - prior))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> tuple[np.ndarray, float] | None:

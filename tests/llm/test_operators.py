@@ -332,6 +332,14 @@ def test_held_out_accuracy(spark):
     assert sum(r["predicted"] for r in clean) <= 0.05 * len(clean) and sum(r["predicted"] for r in toxic) >= 0.5 * len(toxic)
 
 
+def test_toxicity_of_few_labels_spares_clean_texts(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    got = by_id(toxicity.toxicity(docs, labels))
+    clean = [got[r["doc_id"]] for r in labels.where("toxic = 0").collect()]
+    toxic = [got[r["doc_id"]] for r in labels.where("toxic = 1").collect()]
+    assert sum(r["predicted"] for r in clean) <= 0.05 * len(clean) and sum(r["predicted"] for r in toxic) >= 0.5 * len(toxic)
+
+
 def test_toxicity_without_positives(spark, docs):
     labels = spark.createDataFrame([(0, 0), (1, None)], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(docs, labels).collect()} == {0.0}
