@@ -375,3 +375,76 @@ def test_pipeline_runs(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     got = corpus_pipeline.run(spark, DATA)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 100
+
+
+def brute_clean(rows, sites=10, least=3):
+    """{doc_id: text} of rows (doc_id, text, source) without lines of many sites; copies above half stay."""
+    lines = {i: text.split("\n") for i, text, _ in rows}
+    spread = {}
+    for i, _, source in rows:
+        for line in lines[i]:
+            if len(WORDS.findall(line)) >= least:
+                spread.setdefault(line.strip(" \t\r"), set()).add(source)
+    left = {i: "\n".join(x for x in own if len(spread.get(x.strip(" \t\r"), ())) < sites) for i, own in lines.items()}
+    over = [(i, t) for i, t, _ in rows if 2 * len(WORDS.findall(left[i])) < len(WORDS.findall(t))]
+    roots = {i: root for i, (_, root) in brute_components(over, 5, 80).items()}
+    whole = {i for i, root in roots.items() if Counter(roots.values())[root] > 1}
+    return {i: t if i in whole else left[i] for i, t, _ in rows}
+
+
+def test_pipeline_stages_equal_brute_force(spark, docs):
+    """Each written stage against its predecessor's rows: ids and texts, copies, pieces."""
+    import glob
+
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    pattern = f"{spark.conf.get('spark.checkpoint.dir')}/corpus-pipeline-*"
+    before = set(glob.glob(pattern))
+    packed = corpus_pipeline.run(spark, DATA).collect()
+    (base,) = set(glob.glob(pattern)) - before
+    stages = [[(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]]
+    for k, (name, _) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stages.append([(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{base}/{k}-{name}").collect()])
+    first, clean, cleaned, single, mixed = stages
+
+    params = toxicity.ToxicityParams()
+    weights, bias = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic"), params)
+
+    def rejected(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        words, _ = hashing.word_hashes(data, np.array([0, len(data)]), hashing.NO_ALNUM)
+        slots = {int(w) >> (64 - params.bits) for w in words}
+        return 1 / (1 + np.exp(-(sum(float(weights[x]) for x in slots) + bias))) >= 0.3
+
+    assert sorted(clean) == sorted(r for r in first if not rejected(r[1])) and len(clean) < len(first)
+    want = brute_clean(clean)
+    assert sorted(cleaned) == sorted((i, want[i], source) for i, _, source in clean) and sorted(cleaned) != sorted(clean)
+    roots = brute_components([r[:2] for r in cleaned], 5, 80)
+    assert sorted(single) == sorted(r for r in cleaned if roots[r[0]][1] == r[0]) and len(single) < len(cleaned)
+
+    assert set(mixed) <= set(single)
+    size = {i: len(WORDS.findall(text)) for i, text, _ in single}
+    held = Counter()
+    for i, _, source in single:
+        held[source] += size[i]
+    goals, taken = mixing.targets(list(held.items())), Counter()
+    for i, _, source in mixed:
+        taken[source] += size[i]
+    assert all(abs(taken[s] - goal) <= max(size[i] for i, _, source in single if source == s) for s, goal in goals.items())
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, copies = Counter(), Counter(mixed)
+    for (i, text, _), n in copies.items():
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        for start, length in packing.cut(len(ids), 2048):
+            pieces[i, start, length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())] += n
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == pieces
+    places = {}
+    for r in packed:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        own.sort()
+        assert own[0][0] == 0 and sum(own[-1]) <= 2048 and all(sum(a) == b[0] for a, b in zip(own, own[1:]))
