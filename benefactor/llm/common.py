@@ -62,6 +62,11 @@ def share_below(key: Column, fraction: float | Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < limit
 
 
+def text_hash(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that stand for a text."""
+    return F.xxhash64(text), F.xxhash64(text, F.lit(1))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column as one array, and the offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,13 +16,17 @@ Steps, each distributed:
 3. Hub rounds: in each bucket one document is the hub; others in other components are verified
    against the hub with which they share most, and links are contracted. A group of thousands
    of near copies falls together in a few rounds, without its pairs being listed.
-4. What remains open is listed pair by pair, across components only, and verified.
+4. What remains open is decided inside tasks. A bucket is cut into blocks of bounded size; a task
+   has two blocks, counts the entries that their documents share as a product of matrices, and
+   says which documents have a partner to verify. These come once more, with their whole sets, in
+   blocks of bounded bytes, and links leave as a spanning forest. No pair is ever a row.
 No candidate is dropped at any step: pairs inside one component need no check.
 
 Edge cases: a text that is null or without words has an empty set, 0 shingles and itself as
-component; fewer words than the width give one shingle of all words; rows that share a doc_id are
-one document with several texts; a null doc_id takes part through its class alone; an
-empty table gives an empty result.
+component; fewer words than the width give one shingle of all words; a text is known by its
+hash, so rows that share a doc_id may hold different texts, each with links of its own; a row
+without a doc_id takes part like others and never names a component that has another row with
+one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +41,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from benefactor.llm import hashing
-from benefactor.llm.common import cut_lineage, pick, utf8
+from benefactor.llm import blocks, hashing
+from benefactor.llm.common import PLAIN_WORD, cut_lineage, pick, text_hash, utf8
 
 
 @dataclass(frozen=True)
@@ -50,10 +54,13 @@ class JoinParams:
     verify_cost: float = 20.0  # of a pair, in scanned prefix entries
     max_match: int = 64
     range_bytes: int = 6 << 20  # of text, for each range of shingles
-    broadcast_rows: int = 1 << 20  # ids or pairs that may be broadcast; beyond it joins shuffle
-    rounds: int = 1  # hub rounds before what remains open is listed
+    broadcast_rows: int = 1 << 17  # rows of three longs that may be broadcast; beyond it joins shuffle
+    hot_class: int = 12  # shingles in 2**12 documents or more go to their buckets without being gathered first
+    rounds: int = 1  # hub rounds before what remains open is met in blocks
     hubs: int = 16  # of a bucket in a round
     tries: int = 4  # hubs that a document is verified against in a round
+    block_docs: int = 512  # of a bucket, met at a time
+    block_bytes: int = 1 << 20  # of whole sets, met at a time
 
 
 # ---- packed arrays -------------------------------------------------------------------------
@@ -204,37 +211,43 @@ def adaptive_prefix(tokens: np.ndarray, table: FrequencyTable, params: JoinParam
 
 
 def prefixes(docs: DataFrame, table: FrequencyTable, params: JoinParams) -> DataFrame:
-    """doc_id, n, key (16 bytes of the set; null if empty), match, edge and prefix of every text."""
+    """doc_id, a and b (the text's hash), n, key (16 bytes of the set; null if empty), match, edge and prefix of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    names = ["doc_id", "n", "key", "match", "edge", "prefix"]
+    names = ["doc_id", "a", "b", "n", "key", "match", "edge", "prefix"]
 
     def run(batches):
         table = shared.value
         for batch in batches:
             rows = []
-            for s in _sets(batch, 1, params.width):
+            for s in _sets(batch, 3, params.width):
                 if len(s):
                     match, edge, prefix = adaptive_prefix(s, table, params)
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), match, edge, prefix.tobytes()))
+                    rows.append((len(s), _key(s), match, edge, prefix.tobytes()))
                 else:
                     rows.append((0, None, 0, 0, None))
             kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, match int, edge long, prefix binary")
+    return docs.select("doc_id", "a", "b", "text").mapInArrow(run, "doc_id long, a long, b long, n long, key binary, match int, edge long, prefix binary")
 
 
-_FLIP = np.uint64(1 << 63)  # signed ids in the order of unsigned ones
+def _key(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def buckets(reps: DataFrame, ranges: int) -> DataFrame:
-    """token and doc of all prefix entries whose shingle stands in two prefixes or more."""
+def buckets(reps: DataFrame, ranges: int, table: FrequencyTable, params: JoinParams) -> DataFrame:
+    """token and doc of the prefix entries whose shingle may stand in two prefixes or more.
 
-    def deal(batches):
+    Entries are gathered by ranges of shingles, and those that nobody shares leave. Frequent
+    shingles are not gathered: their entries go straight on, so a range holds no hot shingle.
+    """
+    shared = reps.sparkSession.sparkContext.broadcast(table)
+
+    def parts(batches):
         for batch in batches:
-            docs = np.array(batch.column(0).to_pylist(), np.int64).view(np.uint64)
-            tokens = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(1)]
+            docs = batch.column(0).to_numpy().astype(np.uint64)
+            tokens = blocks.longs(batch.column(1))
             at = 0
             while at < len(tokens):
                 end, size = at, 0
@@ -244,21 +257,31 @@ def buckets(reps: DataFrame, ranges: int) -> DataFrame:
                 every = np.concatenate(tokens[at:end])
                 owner = np.repeat(docs[at:end], [len(t) for t in tokens[at:end]])
                 order = np.argsort(every, kind="stable")
-                every, owner = every[order], owner[order]
-                negative = bool((owner >= _FLIP).any())
-                place = _range_of(every, 64, ranges)
-                edges = np.append(_runs(place), len(every))
-                rows = [
-                    (int(place[a]), _ascending(every[a:b]), _planes(owner[a:b] ^ _FLIP if negative else owner[a:b]), negative)
-                    for a, b in zip(edges[:-1], edges[1:], strict=True)
-                ]
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "tokens", "docs", "flipped"])
+                yield every[order], owner[order]
                 at = end
 
+    def deal(batches):
+        table = shared.value
+        for every, owner in parts(batches):
+            rare = table.of(every) < params.hot_class
+            every, owner = every[rare], owner[rare]
+            place = _range_of(every, 64, ranges)
+            edges = np.append(_runs(place), len(every))
+            rows = [(int(place[a]), _ascending(every[a:b]), _planes(owner[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            if rows:
+                kinds = [pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "tokens", "docs"])
+
+    def frequent(batches):
+        table = shared.value
+        for every, owner in parts(batches):
+            hot = table.of(every) >= params.hot_class
+            if hot.any():
+                yield pa.RecordBatch.from_arrays([pa.array(every[hot].view(np.int64)), pa.array(owner[hot].view(np.int64))], ["token", "doc"])
+
     def meet(table: pa.Table) -> pa.Table:
         tokens = np.concatenate([_unascending(b.as_py()) for b in table["tokens"]])
-        docs = np.concatenate([_unplanes(b.as_py()) ^ (_FLIP if f.as_py() else np.uint64(0)) for b, f in zip(table["docs"], table["flipped"], strict=True)])
+        docs = np.concatenate([_unplanes(b.as_py()) for b in table["docs"]])
         order = np.argsort(tokens, kind="stable")
         ordered = tokens[order]
         first = _runs(ordered)
@@ -266,8 +289,9 @@ def buckets(reps: DataFrame, ranges: int) -> DataFrame:
         kept = order[np.repeat(sizes > 1, sizes)]
         return pa.table({"token": pa.array(tokens[kept].view(np.int64)), "doc": pa.array(docs[kept].view(np.int64))})
 
-    dealt = reps.select("doc", "prefix").mapInArrow(deal, "range int, tokens binary, docs binary, flipped boolean")
-    return dealt.groupBy("range").applyInArrow(meet, "token long, doc long")
+    entries = reps.select("doc", "prefix")
+    rare = entries.mapInArrow(deal, "range int, tokens binary, docs binary").groupBy("range").applyInArrow(meet, "token long, doc long")
+    return rare.union(entries.mapInArrow(frequent, "token long, doc long"))
 
 
 def possible(entries: DataFrame, params: JoinParams) -> DataFrame:
@@ -294,15 +318,28 @@ def _small(df: DataFrame, rows: int, params: JoinParams) -> DataFrame:
     return F.broadcast(df) if rows <= params.broadcast_rows else df
 
 
-def token_sets(docs: DataFrame, ids: DataFrame, n_ids: int, params: JoinParams) -> DataFrame:
-    """doc and its whole shingle set, for the documents in `ids` (doc)."""
-    held = docs.join(_small(ids.select(F.col("doc").alias("wanted")), n_ids, params), F.col("doc_id") == F.col("wanted"), "left_semi")
+def token_sets(docs: DataFrame, reps: DataFrame, n_reps: int, params: JoinParams) -> DataFrame:
+    """doc and its whole shingle set, for the classes in `reps` (doc, doc_id, a, b).
+
+    The row is found by its text's hash and its id. Where rows repeat, a task sends the set once, so
+    a set may come more than once, but never as often as a hot text.
+    """
+    wanted = reps.select("doc", F.col("doc_id").alias("its_id"), F.col("a").alias("its_a"), F.col("b").alias("its_b"))
+    held = docs.join(
+        _small(wanted, n_reps, params), (F.col("a") == F.col("its_a")) & (F.col("b") == F.col("its_b")) & F.col("doc_id").eqNullSafe(F.col("its_id"))
+    )
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch, 1, params.width)], pa.binary())], ["doc", "tokens"])
+            docs, fresh = batch.column(0).to_pylist(), []
+            for doc in docs:
+                fresh.append(doc not in seen)
+                seen.add(doc)
+            new = batch.filter(pa.array(fresh, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([new.column(0), pa.array([s.tobytes() for s in _sets(new, 1, params.width)], pa.binary())], ["doc", "tokens"])
 
-    return held.select("doc_id", "text").mapInArrow(run, "doc long, tokens binary")
+    return held.select("doc", "text").mapInArrow(run, "doc long, tokens binary")
 
 
 def verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, params: JoinParams) -> DataFrame:
@@ -353,7 +390,7 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _earlier(x: Column, y: Column) -> Column:
-    """The value of the document whose prefix ends earlier in the order; the greater one if they end alike."""
+    """For a document and a hub the value of the document whose prefix ends earlier in the order; the greater one if they end alike."""
     return F.when(F.col("ex") < F.col("ey"), x).when(F.col("ey") < F.col("ex"), y).otherwise(F.greatest(x, y))
 
 
@@ -375,8 +412,8 @@ def _need(params: JoinParams) -> Column:
     return F.greatest(F.least("mx", "my"), overlap - _earlier(rest("nx", "mx"), rest("ny", "my")))
 
 
-def components(docs: DataFrame, entries: DataFrame, params: JoinParams) -> DataFrame:
-    """doc and comp of every document with prefix entries in buckets."""
+def components(docs: DataFrame, reps: DataFrame, entries: DataFrame, params: JoinParams) -> DataFrame:
+    """doc and comp of every class in `reps` that shares enough prefix entries with some other."""
     first = cut_lineage(possible(entries, params).select("doc"))
     held = entries.join(_small(first, first.count(), params), "doc", "left_semi")
     several = held.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
@@ -384,16 +421,19 @@ def components(docs: DataFrame, entries: DataFrame, params: JoinParams) -> DataF
     active = cut_lineage(possible(held, params))
     n_active = active.count()
     entries = cut_lineage(_collapsed(held.join(_small(active, n_active, params), "doc")))
-    sets = cut_lineage(token_sets(docs, active, n_active, params))
+    own = reps.select("doc", "doc_id", "a", "b").join(_small(active.select("doc"), n_active, params), "doc", "left_semi")
+    sets = cut_lineage(token_sets(docs, own, n_active, params))
     labels = cut_lineage(active.select("doc", F.col("doc").alias("comp")))
     for turn in range(params.rounds + 1):
         marked = entries.join(_small(labels, n_active, params), "doc")
         open_ = marked.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
         marked = marked.join(open_, "token", "left_semi")
-        pairs = cut_lineage(_listed(marked, params) if turn == params.rounds else _to_hubs(marked, turn, params))
-        n_pairs = pairs.count()
-        if n_pairs:
-            labels = contract(labels, verified(pairs, n_pairs, sets, params))
+        if turn < params.rounds:
+            pairs = cut_lineage(_to_hubs(marked, turn, params))
+            links = verified(pairs, pairs.count(), sets, params)
+        else:
+            links = _met(cut_lineage(marked), sets, params)
+        labels = contract(labels, links)
     return labels
 
 
@@ -435,52 +475,165 @@ def _to_hubs(marked: DataFrame, turn: int, params: JoinParams) -> DataFrame:
     return best.select("x", F.explode("best.y").alias("y"))
 
 
-def _listed(marked: DataFrame, params: JoinParams) -> DataFrame:
-    """All pairs of documents in different components that share enough prefix entries."""
-    x = marked.withColumnsRenamed({"doc": "x", "comp": "cx", "n": "nx", "match": "mx", "edge": "ex", "reach": "rx"})
-    y = marked.withColumnsRenamed({"doc": "y", "comp": "cy", "n": "ny", "match": "my", "edge": "ey", "reach": "ry"}).drop("weight")
-    met = x.join(y, "token").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _fits(params))
-    shared = met.groupBy("x", "y").agg(F.sum("weight").alias("shared"), F.min(_need(params)).alias("need"))
-    return shared.where(F.col("shared") >= F.col("need")).select("x", "y")
-
+def _met(marked: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
+    """Links x, y that join all documents of different components that are similar enough.
 
-def similarity_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) and class_id (the least with an equal set)."""
-    rows = pick(docs, "doc_id", "text")
+    A pair belongs to one bucket: of those that it shares, the first in one order of all buckets (the
+    largest first, so that few buckets have the pairs of a large group). Behind that bucket a document
+    still needs entries enough for the pair's demand, so it goes only to buckets with so much behind them.
+    """
+    sizes = marked.groupBy("token").agg(F.count("*").alias("m"), F.min("match").alias("fewest"))
+    held = marked.join(sizes, "token")
+    first = [F.first(c).alias(c) for c in ("comp", "n", "match", "edge", "reach")]
+    lists = held.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("m", "token", "weight", "fewest")), False).alias("own"), *first)
+    lists = lists.select("doc", "comp", "n", "match", "edge", "reach", *[F.col(f"own.{c}").alias(c) for c in ("m", "token", "weight", "fewest")])
+    schema = "token long, low int, high int, slot int, doc long, comp long, n int, match int, edge long, reach int, own binary, weights binary"
+    units = lists.mapInArrow(lambda batches: _to_units(batches, params), schema)
+    tried = _by_unit(units).mapInArrow(lambda batches: _partners(batches, params), "token long, doc long, comp long, n int")
+    tried = cut_lineage(tried.distinct())
+    total = tried.groupBy("token").agg(F.sum("n").alias("total"))
+    slots = F.ceil(F.col("total") * 8 / params.block_bytes).cast("int")
+    placed = tried.join(total, "token").withColumn("slots", slots).withColumn("slot", F.pmod(F.xxhash64("doc"), F.col("slots")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
+    placed = placed.select("token", "slot", "doc", "comp", "n", other.alias("other"))
+    placed = placed.select("token", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), "slot", "doc", "comp", "n")
+    whole = placed.join(sets, "doc").select("token", "low", "high", "slot", "doc", "comp", "n", "tokens")
+    return _by_unit(whole).mapInArrow(lambda batches: _links(batches, params), "x long, y long").distinct()
+
+
+def _by_unit(rows: DataFrame) -> DataFrame:
+    unit = ("token", "low", "high")
+    return rows.repartition(*unit).sortWithinPartitions(*unit)
+
+
+def _to_units(batches, params: JoinParams):
+    """A row for each unit that a document takes part in: its numbers, its tokens in order, and their weights."""
+    names = ["token", "low", "high", "slot", "doc", "comp", "n", "match", "edge", "reach", "own", "weights"]
+    for batch in batches:
+        doc = batch.column(0).to_numpy().astype(np.uint64)
+        match = batch.column(3).to_numpy()
+        columns: list[list] = [[] for _ in range(7)]
+        for i in range(batch.num_rows):
+            m, token, weight, fewest = (batch.column(c)[i].values.to_numpy() for c in (6, 7, 8, 9))
+            behind = np.cumsum(weight[::-1])[::-1]
+            goes = np.flatnonzero(behind >= np.minimum(match[i], fewest))
+            slots = -(-m[goes] // params.block_docs)
+            slot = blocks.slot_of(np.full(len(goes), doc[i]), slots)
+            at = np.repeat(np.arange(len(goes)), slots)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(slots) - slots, slots)
+            own, weights = token.astype(np.int64).tobytes(), weight.astype(np.int64).tobytes()
+            values = (token[goes][at], np.minimum(slot[at], other), np.maximum(slot[at], other), slot[at], np.full(len(at), i), [own] * len(at), [weights] * len(at))
+            for column, value in zip(columns, values, strict=True):
+                column.extend(value)
+        row = pa.array(columns[4], pa.int64())
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), None, pa.binary(), pa.binary()]
+        made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True) if k is not None]
+        yield pa.RecordBatch.from_arrays([*made[:4], *[batch.column(c).take(row) for c in range(6)], *made[4:]], names)
+
+
+def _across(unit: pa.RecordBatch, slot: int, comp: int) -> np.ndarray:
+    """Which pairs of a unit are its own: of two slots, or of one if the unit has one; in different components."""
+    slots, comps = unit.column(slot).to_numpy(), unit.column(comp).to_numpy()
+    apart = comps[:, None] != comps[None, :]
+    if unit.column(1)[0].as_py() != unit.column(2)[0].as_py():
+        apart &= slots[:, None] != slots[None, :]
+    return apart
+
+
+def _partners(batches, params: JoinParams):
+    """Of each unit the documents that have a partner to be verified there: token, doc, comp, n."""
+    num, den = params.numerator, params.denominator
+    for unit in blocks.runs(batches, 3):
+        if unit.num_rows < 2 or not (apart := _across(unit, 3, 5)).any():
+            continue
+        n, match, edge, reach = (unit.column(c).to_numpy().astype(np.int64) for c in (6, 7, 8, 9))
+        ends = np.sign(edge[:, None] - edge[None, :])
+
+        def earlier(v: np.ndarray, ends: np.ndarray = ends) -> np.ndarray:
+            """For each pair the value of the document whose prefix ends earlier; the greater one if they end alike."""
+            return np.where(ends < 0, v[:, None], np.where(ends > 0, v[None, :], np.maximum(v[:, None], v[None, :])))
+
+        low, both = np.minimum(n[:, None], n[None, :]), n[:, None] + n[None, :]
+        apart &= (low * den >= np.maximum(n[:, None], n[None, :]) * num) & (np.minimum(earlier(reach), low) * (den + num) >= both * num)
+        if not apart.any():
+            continue
+        need = np.maximum(np.minimum(match[:, None], match[None, :]), -(-both * num // (den + num)) - earlier(-(-n * num // den) - match))
+        own, weights = blocks.longs(unit.column(10)), blocks.longs(unit.column(11))
+        token = np.int64(unit.column(0)[0].as_py()).astype(np.uint64)
+        before = [v[: int(np.flatnonzero(v == token)[0])] for v in own]
+        apart &= (blocks.shared(own, weights) >= need) & (blocks.shared(before) == 0)
+        met = pa.array(apart.any(axis=1))
+        yield unit.select([0, 4, 5, 6]).filter(met)
+
+
+def _links(batches, params: JoinParams):
+    """The links of each unit, as a spanning forest."""
+    for unit in blocks.runs(batches, 3):
+        apart = _across(unit, 3, 5)
+        if not apart.any():
+            continue
+        n = unit.column(6).to_numpy().astype(np.int64)
+        common = blocks.shared(blocks.longs(unit.column(7)))
+        union = n[:, None] + n[None, :] - common
+        edges = blocks.forest(apart & (params.denominator * common >= params.numerator * union))
+        doc = unit.column(4).to_numpy()
+        a, b = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[a], doc[b])), pa.array(np.maximum(doc[a], doc[b]))], ["x", "y"])
+
+
+def _classes(rows: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """For rows (doc_id, a, b, text): each with n and key; and for each key `first`, the least row of the class, and `least`, that of the component.
+
+    Both are structs (lone: without an id, doc_id, a, b), so rows with an id come first.
+    """
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     table = frequencies(rows, total, params)
     own = cut_lineage(prefixes(rows, table, params))
-    first = F.min(F.struct(F.col("doc_id").alias("doc"), "n", "match", "edge", "prefix"))
-    reps = own.where("key is not null and doc_id is not null").groupBy("key").agg(first.alias("r"))
-    reps = cut_lineage(reps.select("key", "r.*"))
-    shared = buckets(reps, max(1, -(-total // (4 * params.range_bytes))))
-    slim = reps.groupBy("doc").agg(F.max("n").cast("int").alias("n"), F.min("match").alias("match"), F.min("edge").alias("edge"))
-    entries = cut_lineage(shared.join(slim, "doc"))
-    labels = components(rows.where("doc_id is not null"), entries, params)
-    classes = reps.select("key", F.col("doc").alias("class_id")).join(labels, F.col("class_id") == F.col("doc"), "left")
-    classes = cut_lineage(classes.select(F.col("key").alias("its_key"), "class_id", F.coalesce("comp", "class_id").alias("component_id")))
-    met = own.select("doc_id", "n", "key").join(classes, F.col("key") == F.col("its_key"), "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "a", "b", "n", "match", "edge", "prefix"))
+    reps = own.where("key is not null").groupBy("key").agg(first.alias("r")).select("key", "r.*")
+    reps = cut_lineage(reps.withColumn("doc", F.monotonically_increasing_id()))  # numbered, then written: numbers stay
+    shared = buckets(reps, max(1, -(-total // (4 * params.range_bytes))), table, params)
+    entries = cut_lineage(shared.join(reps.select("doc", F.col("n").cast("int").alias("n"), "match", "edge"), "doc"))
+    labels = components(rows, reps, entries, params)
+    named = reps.select("key", "doc", F.struct("lone", "doc_id", "a", "b").alias("first"))
+    least = labels.join(named, "doc").groupBy("comp").agg(F.min("first").alias("least"))
+    labelled = labels.join(least, "comp").select("doc", "least")
+    classes = named.join(labelled, "doc", "left").select("key", "first", F.coalesce("least", "first").alias("least"))
+    return own.select("doc_id", "n", "key"), cut_lineage(classes)
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    a, b = text_hash(F.col("text"))
+    return docs.withColumn("a", a).withColumn("b", b)
+
+
+def similarity_components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) and class_id (the least with an equal set)."""
+    own, classes = _classes(_hashed(pick(docs, "doc_id", "text")), params)
+    met = own.join(classes.withColumnRenamed("key", "its_key"), F.col("key") == F.col("its_key"), "left")
     return met.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+        F.coalesce("first.doc_id", "doc_id").alias("class_id"),
     )
 
 
 def keep_one(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """Of each group of linked documents the row with the least doc_id, all columns.
+    """Of each group of linked documents one row, all columns: that with the least doc_id.
 
-    Texts without words link with nothing and stay; of rows that repeat that doc_id the one with the
-    least text stays; rows without a doc_id stay unless their class has a document with one.
+    Rows are compared by their texts, not their ids: texts that share a doc_id and do not link both
+    stay, and rows without a doc_id take part, but one with an id is preferred. Of rows that repeat an id and a text
+    one stays. Texts without words link with nothing and all stay.
     """
-    found = similarity_components(docs, params)
+    _, classes = _classes(_hashed(pick(docs, "doc_id", "text")), params)
     names = list(docs.columns)
     plain = docs.toDF(*[n if names.index(n) == i and n in ("doc_id", "text") else f"__c{i}" for i, n in enumerate(names)])
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay")).distinct()
-    kept = plain.join(stay, F.col("doc_id") == F.col("__stay"), "left_semi")
-    # repeated ids only: a window over doc_id holds the rows of one id
-    own = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn("__nth", F.row_number().over(own)).where("__nth = 1").drop("__nth")
-    lone = plain.where("doc_id is null")
-    return kept.unionByName(lone).toDF(*names)
+    worded = F.coalesce(F.col("text").rlike(PLAIN_WORD), F.lit(False))
+    a, b = text_hash(F.col("text"))
+    # one row of each text: its own least, which no task gathers, as each sends on one only
+    least = Window.partitionBy("__a", "__b").orderBy(F.col("doc_id").asc_nulls_last())
+    single = plain.where(worded).withColumn("__a", a).withColumn("__b", b).withColumn("__nth", F.row_number().over(least)).where("__nth = 1")
+    stay = classes.select(F.col("least.a").alias("__sa"), F.col("least.b").alias("__sb")).distinct()
+    kept = single.join(stay, (F.col("__a") == F.col("__sa")) & (F.col("__b") == F.col("__sb")), "left_semi").select(*plain.columns)
+    return kept.unionByName(plain.where(~worded)).toDF(*names)
