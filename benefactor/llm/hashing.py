@@ -82,10 +82,11 @@ def _cuts(data: np.ndarray, separator: np.ndarray) -> list[int]:
     return cuts
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = WHITE, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, A-Z in lower case, and for each bound the number of words before it.
 
     bounds: offsets of the documents in `data`, the end included; words end at them.
+    most: hash only so many bytes from a word's start.
     """
     found, starts, at = [], [], 0
     with np.errstate(over="ignore"):
@@ -101,6 +102,8 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = WH
             before[inner] = False
             after[inner - 1] = False
             first, last = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+            if most is not None:
+                last = np.minimum(last, first + most)
             power, inverse = _power_tables(n)
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(_BYTE[text] * power[:n], out=total[1:])

@@ -1,8 +1,9 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-A linear classifier over hashed word presence is trained in numpy from confirmed toxic
-documents (positives) and plain documents of unknown label (unlabelled), over the words whose
-rates in the two differ clearly. With the class prior
+A linear classifier over hashed features is trained in numpy from confirmed toxic
+documents (positives) and plain documents of unknown label (unlabelled), over the features whose
+rates in the two differ clearly. A document's features are its words, and the stems (first bytes of longer
+words) that make up a good part of its words: they tell of a vocabulary whose single words are too rare to learn. With the class prior
 p, positive risk P+ (loss of calling positives positive), P- (of calling them negative) and
 unlabelled risk U-, the estimate is  p * P+ + max(0, U- - p * P-).  Where the second term falls
 below zero, the step lowers its size instead, which keeps a flexible model from calling every
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from benefactor.llm import hashing
-from benefactor.llm.common import fold_of, pick, share_below, utf8
+from benefactor.llm.common import cut_lineage, fold_of, pick, share_below, utf8
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,9 @@ class ToxicityParams:
     max_positive: int = 4000  # expected sampled toxic documents
     max_unlabelled: int = 12_000  # expected sampled documents of unknown label
     bits: int = 18  # the features are the upper bits of the word hashes
+    stem: int = 5  # bytes of a stem, of words that are longer
+    stem_share: int = 128  # a stem counts if it has two words and one in so many
+    max_bytes: int = 64 << 20  # of sampled features, collected to the driver
     min_z: float = 4.5  # features whose rates among positives and unlabelled differ by fewer standard errors are left out
     steps: int = 300
     rate: float = 0.05
@@ -41,13 +45,17 @@ class ToxicityParams:
     threshold: float = 0.3
 
 
-def _features(data: np.ndarray, bounds: np.ndarray, bits: int):
+def _features(data: np.ndarray, bounds: np.ndarray, params: ToxicityParams):
+    """The feature slots of each document, sorted."""
+    shift = np.uint64(64 - params.bits)
     for a, b in hashing.batches(bounds):
-        part = data[bounds[a] : bounds[b]]
-        words, first = hashing.word_hashes(part, bounds[a : b + 1] - bounds[a], hashing.NO_ALNUM)
-        slots = (words >> np.uint64(64 - bits)).astype(np.int32)
+        part, own = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+        words, first = hashing.word_hashes(part, own, hashing.NO_ALNUM)
+        stems, _ = hashing.word_hashes(part, own, hashing.NO_ALNUM, params.stem)
         for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            yield np.unique(slots[i:j])
+            stem, times = np.unique(stems[i:j][stems[i:j] != words[i:j]], return_counts=True)
+            often = hashing.mix(stem[(times > 1) & (times * params.stem_share >= j - i)])
+            yield np.unique((np.concatenate([words[i:j], often]) >> shift).astype(np.int32))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -129,14 +137,17 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
         .where("pos_id is not null or unlabelled")
         .select("text", F.col("pos_id").isNotNull().alias("positive"), "unlabelled")
     )
-    bits = params.bits
 
     def extract(batches):
         for batch in batches:
-            found = [f.astype(np.int32).tobytes() for f in _features(*utf8(batch.column(0)), bits)]
+            found = [f.tobytes() for f in _features(*utf8(batch.column(0)), params)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], ["positive", "unlabelled", "slots"])
 
-    got = sample.mapInArrow(extract, "positive boolean, unlabelled boolean, slots binary").collect()
+    features = cut_lineage(sample.mapInArrow(extract, "positive boolean, unlabelled boolean, slots binary"))
+    size = features.agg(F.coalesce(F.sum(F.octet_length("slots")), F.lit(0))).first()[0]
+    if size > params.max_bytes:  # very long texts: fewer of them, by a hash of what they say
+        features = features.where(share_below(F.col("slots"), params.max_bytes / size, 227))
+    got = features.distinct().collect()
     # equal texts count once: a copied document says nothing more about its words
     positive = [np.frombuffer(s, np.int32) for s in sorted({bytes(r["slots"]) for r in got if r["positive"]})]
     unlabelled = [np.frombuffer(s, np.int32) for s in sorted({bytes(r["slots"]) for r in got if r["unlabelled"]})]
@@ -150,7 +161,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, params: Toxic
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats
     names = docs.columns
     at = names.index("text")
-    bits = params.bits
 
     def run(batches):
         model = shared.value
@@ -159,7 +169,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, params: Toxic
                 scores = np.zeros(batch.num_rows)
             else:
                 weights, bias = model
-                scores = _sigmoid(np.array([weights[f].sum(dtype=float) for f in _features(*utf8(batch.column(at)), bits)]).reshape(-1) + bias)
+                scores = _sigmoid(np.array([weights[f].sum(dtype=float) for f in _features(*utf8(batch.column(at)), params)]).reshape(-1) + bias)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
