@@ -1,6 +1,7 @@
 """Language identification: words first, backing off to shorter and shorter character n-grams.
 
-Fit: word counts per language over a bounded sample of labelled documents, then n-gram counts
+Fit: word counts per language over a bounded sample of labelled documents, the most frequent words of
+each language (all languages have the same room, so a large one does not crowd out a small one), then n-gram counts
 from those words. Score: a known word adds its log frequency in each language; an unseen word
 adds the mean log frequency of its known n-grams of the longest size that has any. The score is
 the posterior of the best language under equal priors.
@@ -18,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from benefactor.llm.common import fold_of, pick, share_below
@@ -32,8 +33,8 @@ class LanguageIdParams:
     """Bounds of the fit; scoring reads whole texts of all rows."""
 
     docs_per_language: int = 4000  # expected number of sampled documents of each language
-    max_languages: int = 256  # the most frequent languages are learned
-    max_words: int = 100_000  # the most frequent (language, word) pairs are learned
+    max_words: int = 100_000  # learned (language, word) pairs, as many of each language
+    least_words: int = 200  # of a language, however many languages there are
     sizes: tuple[int, ...] = (5, 4, 3, 2, 1)
     smoothing: float = 0.5
     cache_words: int = 200_000  # unseen words whose scores a worker remembers
@@ -97,9 +98,7 @@ def _count_words(batches):
 def fit(labelled: DataFrame, params: LanguageIdParams = LanguageIdParams()) -> LanguageModel:
     """Learn from `labelled` (doc_id, text, lang); the sample is drawn by a hash of doc_id."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = (
-        rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_languages).collect()
-    )
+    sizes = rows.groupBy("lang").count().collect()  # a row a language
     if not sizes:
         return LanguageModel([], {}, np.zeros((0, 0)), [], np.zeros((0, 0)))
     part = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, params.docs_per_language / r["count"]))])
@@ -109,9 +108,9 @@ def fit(labelled: DataFrame, params: LanguageIdParams = LanguageIdParams()) -> L
         .mapInPandas(_count_words, "lang string, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
-        .where("n > 1")
+        .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+        .where(F.col("nth") <= max(params.least_words, params.max_words // len(sizes)))
         .orderBy(F.desc("n"), "lang", "word")
-        .limit(params.max_words)
         .toPandas()
     )
     languages = sorted({r["lang"] for r in sizes})
