@@ -4,35 +4,41 @@ A HyperLogLog sketch of the sites is built for each line hash and merged by aggr
 whose estimate is clearly at or over the threshold are boilerplate; those within the sketch's
 error of it get an exact distinct count. Boilerplate lines are taken out of all documents.
 
-A document of which more than `most_removed` of the words would go may be a copy that many sites
-hold, not a page with a frame of boilerplate. `clean_lines` (the pipeline's stage) leaves it whole, for
-near-duplicate removal, only if another such document has its text or links with it in the n-gram
-join; all others lose their lines. `dedup_lines` (op2) follows its SQL, which exempts without proof.
+The threshold is a share of the table's distinct sites, within fixed bounds: on a table of a
+few sites a line on several of them is boilerplate, on a web crawl one on `most_sites`.
+
+`dedup_lines` (op2) exempts no document. `clean_lines` (the pipeline's stage) leaves a text of which more
+than `most_removed` of the words would go whole, for near-duplicate removal, if it is proven a copy:
+another such document has its text or links with it in the n-gram join. All others lose their lines.
 
 Lines are cut at line feeds and compared without spaces, tabs and carriage returns around them; lines of
-fewer than `min_words` words are never boilerplate. Two 64-bit hashes stand for a line.
+fewer than `min_words` words are never boilerplate. Two 64-bit hashes stand for a line, and two for a
+text, whose lines are looked up once for all rows that hold it.
 
 Edge cases: a null text stays null; an empty text has one empty line; a null site counts as a
-site of its own; repeated rows count their site once and are cleaned alike; an empty table
+site of its own; rows without a doc_id or with a repeated one are cleaned by their texts; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benefactor.llm.common import PLAIN_WORD, cut_lineage, pick
+from benefactor.llm.common import PLAIN_WORD, cut_lineage, pick, text_hash
 from benefactor.llm.ngram_join import JoinParams, similarity_components
 
 
 @dataclass(frozen=True)
 class LineParams:
-    sites: int = 10  # a line on so many distinct sites is boilerplate
+    share: float = 0.2  # of the distinct sites: a line on so many is boilerplate
+    least_sites: int = 3
+    most_sites: int = 10
     min_words: int = 3
-    most_removed: float = 0.5  # of a document's words
+    most_removed: float = 0.5  # of a document's words, before `clean_lines` asks whether it is a copy
     lg_k: int = 10  # size of the sketches
     errors: float = 4.0  # standard errors around the threshold that count as near
 
@@ -45,105 +51,98 @@ def _words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(PLAIN_WORD))
 
 
-def _hash(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
+def _hash(text: Column) -> Column:
+    a, b = text_hash(text)
+    return F.struct(a.alias("a"), b.alias("b"))
+
+
+def _site(site: Column) -> Column:
+    return F.coalesce(site.cast("string"), F.lit("\u0000"))
+
+
+def threshold(docs: DataFrame, params: LineParams = LineParams()) -> int:
+    """The number of distinct sites that makes a line boilerplate; docs: site."""
+    sites = docs.agg(F.countDistinct(_site(F.col("site")))).first()[0]
+    return min(params.most_sites, max(params.least_sites, math.ceil(params.share * sites)))
 
 
 def boilerplate(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """doc_id, and in `lines` the hashes of its boilerplate lines; documents without one are left out.
+    """hash (of a text), and in `lines` the hashes of its boilerplate lines; texts without one are left out.
 
-    docs: doc_id, text, site. What is kept between the passes are occurrences of widespread lines.
+    docs: text, site. What is kept between the passes are occurrences of widespread lines.
     """
+    least = threshold(docs, params)
     seen = (
         docs.where(F.col("text").isNotNull())
-        .select("doc_id", F.coalesce("site", F.lit("\u0000")).alias("site"), F.explode(F.split("text", "\n")).alias("raw"))
+        .select(_hash(F.col("text")).alias("hash"), _site(F.col("site")).alias("site"), F.explode(F.split("text", "\n")).alias("raw"))
         .withColumn("line", _line(F.col("raw")))
         .where(_words(F.col("line")) >= params.min_words)
-        .select("doc_id", "site", _hash(F.col("line")).alias("hash"))
+        .select("hash", "site", _hash(F.col("line")).alias("line"))
     )
-    spread = seen.groupBy("hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(params.lg_k))).alias("sites"))
+    spread = seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(params.lg_k))).alias("sites"))
     error = params.errors * 1.04 / 2 ** (params.lg_k / 2)
     # checkpointed, so that the join's both sides are plain exchanges and a hot line can be split
     wide = cut_lineage(
-        spread.where(F.col("sites") >= params.sites * (1 - error)).select(
-            F.col("hash").alias("wide"), (F.col("sites") < params.sites * (1 + error)).alias("near")
-        )
+        spread.where(F.col("sites") >= least * (1 - error)).select(F.col("line").alias("wide"), (F.col("sites") < least * (1 + error)).alias("near"))
     )
-    met = cut_lineage(
-        seen.join(wide, F.col("hash") == F.col("wide")).groupBy("doc_id", "site", "hash").agg(F.first("near").alias("near"))
-    )
-    exact = (
-        met.where("near").groupBy(F.col("hash").alias("sure")).agg(F.countDistinct("site").alias("n")).where(F.col("n") >= params.sites).select("sure")
-    )
-    kept = met.where("not near").select("doc_id", "hash").union(
-        met.where("near").join(exact, F.col("hash") == F.col("sure"), "left_semi").select("doc_id", "hash")
-    )
-    return kept.groupBy("doc_id").agg(F.collect_set("hash").alias("lines"))
+    met = cut_lineage(seen.join(wide, F.col("line") == F.col("wide")).select("hash", "site", "line", "near"))
+    # (line, site) pairs are few however many documents hold the line: each task sends a pair once
+    exact = met.where("near").groupBy("line").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= least).select(F.col("line").alias("sure"))
+    near = met.where("near").select("hash", "line").join(cut_lineage(exact), F.col("line") == F.col("sure"), "left_semi")
+    return met.where("not near").select("hash", "line").union(near).groupBy("hash").agg(F.collect_set("line").alias("lines"))
 
 
 def with_copies(docs: DataFrame, lines: DataFrame, params: LineParams, join: JoinParams) -> DataFrame:
-    """`lines` and, in `copies`, the hashes of a document's texts that are proven copies.
+    """`lines` and `copy`, whether the text would lose too much and is a proven copy.
 
     Only texts that would lose too much are compared, with one another: a partner outside of them is
     cleaned itself, and near-duplicate removal finds the cleaned pair.
     """
-    over = _cleaned(docs.select("doc_id", "text"), lines, params).where("__whole")
-    over = cut_lineage(over.select("doc_id", "text", _hash(F.col("text")).alias("hash")))
-    absent = F.sum(F.col("doc_id").isNull().cast("long"))
-    several = (F.min("doc_id") < F.max("doc_id")) | (absent > 1) | ((absent > 0) & F.min("doc_id").isNotNull())
-    texts = over.groupBy("hash").agg(F.first("text").alias("text"), F.coalesce(several, F.lit(False)).alias("several"))
+    over = _cleaned(docs.select("text"), lines, params).where("__much").select("text", _hash(F.col("text")).alias("hash"))
+    texts = over.groupBy("hash").agg(F.first("text").alias("text"), (F.count("*") > 1).alias("several"))
     texts = cut_lineage(texts.withColumn("doc_id", F.monotonically_increasing_id()))
     found = similarity_components(texts.select("doc_id", "text"), join).select("doc_id", "component_id")
     groups = found.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
     linked = found.join(groups, "component_id", "left_semi").select(F.col("doc_id").alias("linked"))
     proven = texts.join(linked, F.col("doc_id") == F.col("linked"), "left").where("several or linked is not null")
-    copies = over.join(proven.select(F.col("hash").alias("sure")), F.col("hash") == F.col("sure"), "left_semi")
-    copies = copies.groupBy(F.col("doc_id").alias("own")).agg(F.collect_set("hash").alias("copies"))
-    return cut_lineage(lines.join(copies, F.col("doc_id").eqNullSafe(F.col("own")), "left").drop("own"))
+    copies = proven.select(F.col("hash").alias("own"))
+    return cut_lineage(lines.join(copies, F.col("hash") == F.col("own"), "left").select("hash", "lines", F.col("own").isNotNull().alias("copy")))
 
 
 def _cleaned(docs: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
-    """`docs` with __clean, __removed (lines) and __whole (whether it was left whole).
+    """`docs` with __clean, __removed (lines) and __much (whether more than `most_removed` would go).
 
-    Where `lines` has `copies`, only these texts are left whole.
+    Where `lines` has `copy`, texts that it marks are left whole.
     """
-    proven = "copies" in lines.columns
-    own = lines.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"), *([F.col("copies").alias("__copies")] if proven else []))
-    met = docs.join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    own = lines.select(F.col("hash").alias("__hash"), F.col("lines").alias("__lines"), *([F.col("copy").alias("__copy")] if "copy" in lines.columns else []))
+    met = docs.join(own, _hash(F.col("text")) == F.col("__hash"), "left")
     all_lines = F.split("text", "\n")
 
     def gone(raw: Column) -> Column:
         line = _line(raw)
         return (_words(line) >= params.min_words) & F.array_contains(F.col("__lines"), _hash(line))
 
-    touched = F.col("__lines").isNotNull() & F.col("text").isNotNull()
-    left = F.when(touched, F.filter(all_lines, lambda raw: ~gone(raw)))
-    met = met.withColumn("__left", left).withColumn("__text", F.array_join("__left", "\n"))
+    change = F.col("__lines").isNotNull() & F.col("text").isNotNull()
+    if "copy" in lines.columns:
+        change = change & ~F.col("__copy")
+    met = met.withColumn("__left", F.when(change, F.filter(all_lines, lambda raw: ~gone(raw)))).withColumn("__text", F.array_join("__left", "\n"))
     words = _words(F.col("text"))
     much = (words - F.coalesce(_words(F.col("__text")), F.lit(0))) > words * F.lit(params.most_removed)
-    if proven:
-        much = much & F.array_contains("__copies", _hash(F.col("text")))
-    met = met.withColumn("__whole", F.coalesce(touched & much, F.lit(False)))
-    change = touched & ~F.col("__whole")
     return (
-        met.withColumn("__clean", F.when(change, F.col("__text")).otherwise(F.col("text")))
+        met.withColumn("__much", change & much)
+        .withColumn("__clean", F.when(change, F.col("__text")).otherwise(F.col("text")))
         .withColumn("__removed", F.when(change, F.size(all_lines) - F.size("__left")).otherwise(F.lit(0)).cast("long"))
-        .drop("__id", "__lines", "__copies", "__left", "__text")
+        .drop("__hash", "__lines", "__copy", "__left", "__text")
     )
 
 
 def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """doc_id, text (cleaned), n_lines, n_removed and left_whole of every document."""
-    rows = pick(docs, "doc_id", "text", "source").withColumn("site", F.col("source").cast("string"))
-    clean = _cleaned(rows.select("doc_id", "text"), boilerplate(rows.select("doc_id", "text", "site"), params), params)
+    """doc_id, text (cleaned), n_lines and n_removed of every document."""
+    rows = pick(docs, "doc_id", "text", "source")
+    lines = boilerplate(rows.select("text", F.col("source").alias("site")), params)
+    clean = _cleaned(rows.select("doc_id", "text"), lines, params)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return clean.select(
-        "doc_id",
-        F.col("__clean").alias("text"),
-        n_lines.cast("long").alias("n_lines"),
-        F.col("__removed").alias("n_removed"),
-        F.col("__whole").alias("left_whole"),
-    )
+    return clean.select("doc_id", F.col("__clean").alias("text"), n_lines.cast("long").alias("n_lines"), F.col("__removed").alias("n_removed"))
 
 
 def clean_lines(docs: DataFrame, params: LineParams = LineParams(), join: JoinParams = JoinParams()) -> DataFrame:
@@ -154,8 +153,8 @@ def clean_lines(docs: DataFrame, params: LineParams = LineParams(), join: JoinPa
     names = list(docs.columns)
     held = ("doc_id", "text", "source", "n_chars")
     plain = docs.toDF(*[n if names.index(n) == i and n in held else f"__c{i}" for i, n in enumerate(names)])
-    rows = pick(docs, "doc_id", "text", "source").withColumn("site", F.col("source").cast("string"))
-    lines = cut_lineage(boilerplate(rows.select("doc_id", "text", "site"), params))
+    rows = pick(docs, "text", "source").withColumnRenamed("source", "site")
+    lines = cut_lineage(boilerplate(rows, params))
     clean = _cleaned(plain, with_copies(rows, lines, params, join), params)
     out = []
     for c in plain.columns:
