@@ -1,9 +1,13 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations alone.
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger has a row for
-each scan of a blob: the rules (id and version) that were applied and what they found. A run
-scans each blob once, for those rule versions that no ledger row has for it, and joins findings
-back to all paths and versions of the blob.
+each scan of a blob: the rules (kind and version) that were applied and what they found, each finding
+with its rule's version. A run scans each blob once, for those rule versions that no ledger row has
+for it, and joins findings back to all paths and versions of the blob. Only findings of the rule
+versions that are asked for count: what an older version of a rule found stays in the ledger, unreported.
+
+`secret_digest` (op4) brings a ledger up to date in two increments of the documents; the second scans only
+blobs that the first has not met.
 
 Positions come from built-in functions: matches are enclosed in control characters (first
 taken out of the text, which no rule can match), the text is split there, and lengths of the
@@ -15,13 +19,14 @@ an empty table adds nothing; offsets count code points, the end is exclusive.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benefactor.llm.common import cut_lineage, pick
+from benefactor.llm.common import fold_of, pick, shared_folder
 
 
 @dataclass(frozen=True)
@@ -53,12 +58,12 @@ RULES = (
 BASE_KINDS = ("assign", "access", "hex")
 
 _EDGE, _PART, _OTHER = "\u0001", "\u0002", "\u0003"
-_FOUND = "array<struct<start:long,rank:int,kind:string,end:long>>"
+_FOUND = "array<struct<start:long,rank:int,kind:string,end:long,version:int>>"
 LEDGER = f"blob binary, rules array<string>, found {_FOUND}"
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """All matches of one rule, as structs (start, rank, kind, end)."""
+    """All matches of one rule, as structs (start, rank, kind, end, version)."""
     inner = f"$1{_PART}${rule.value}" if rule.value else "$0"
     marked = F.regexp_replace(text, F.lit(rule.pattern), F.lit(f"{_EDGE}{inner}{_EDGE}"))
 
@@ -70,7 +75,7 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         else:
             enough = F.lit(True)
         end = state["at"] + size
-        span = F.struct(state["at"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
+        span = F.struct(state["at"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), F.lit(rule.version).alias("version"))
         return F.struct(
             end.alias("at"),
             (~state["odd"]).alias("odd"),
@@ -88,7 +93,7 @@ def with_blob(versions: DataFrame) -> DataFrame:
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger rows that this run adds, checkpointed: one for each blob with pending rules.
+    """The ledger rows that this run adds: one for each blob with pending rules.
 
     versions: key, text and blob. The least key of a blob stands for it, so a text moves once.
     """
@@ -111,7 +116,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
         F.array(*[F.when(F.array_contains("pending", r.name), _spans(F.col("text"), r, i)).otherwise(F.array().cast(_FOUND)) for i, r in enumerate(rules)])
     )
     rows = clean.select("blob", F.col("pending").alias("rules"), F.array_sort(found).alias("found"))
-    return cut_lineage(rows.dropDuplicates(["blob"]))  # a repeated row of the least key was scanned twice
+    return rows.dropDuplicates(["blob"])  # a repeated row of the least key was scanned twice
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -123,31 +128,45 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def bring_up_to_date(rows: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> None:
+    """Add to the ledger at `path` what the blobs of `rows` (key, text, blob) still lack."""
+    scan_unseen(rows, read_ledger(rows.sparkSession, path), rules).write.mode("append").parquet(path)
+
+
 def scan_incremental(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Bring the ledger at `path` up to date for `versions` (key, text); findings by key."""
     rows = with_blob(versions)
-    scan_unseen(rows, read_ledger(versions.sparkSession, path), rules).write.mode("append").parquet(path)
+    bring_up_to_date(rows, path, rules)
     return findings(rows.select("key", "blob"), read_ledger(versions.sparkSession, path), rules)
 
 
-def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, several: bool = True) -> DataFrame:
-    """`paths` (key, blob, ...) and `found`, sorted by start and kind. Blobs without a finding take no part in the join.
+def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """`paths` (key, blob, ...) and `found`, sorted by start and the place of the kind in `rules`.
 
-    several: whether the ledger can have more than one row of a blob.
+    Findings of other rules or versions are left out; one that two runs have both written counts once.
+    Blobs without a finding take no part in the join.
     """
     ranks = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
-    merged = ledger.where(F.size("found") > 0).select(F.col("blob").alias("hit"), "found")
-    if several:
-        merged = merged.groupBy("hit").agg(F.flatten(F.collect_list("found")).alias("found"))
-    own = F.filter(F.col("found"), lambda s: ranks[s["kind"]].isNotNull())
+    versions = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
+    current = F.filter("found", lambda s: s["version"] == versions[s["kind"]])
+    ranked = F.transform(current, lambda s: s.withField("rank", ranks[s["kind"]]))
+    held = ledger.select(F.col("blob").alias("hit"), ranked.alias("found")).where(F.size("found") > 0)
+    merged = held.groupBy("hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
     joined = paths.join(merged, F.col("blob") == F.col("hit"), "left")
-    return joined.withColumn("found", F.coalesce(F.array_sort(own), F.array().cast(_FOUND))).drop("hit")
+    return joined.withColumn("found", F.coalesce("found", F.array().cast(_FOUND))).drop("hit")
 
 
 def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The findings of all documents as a digest, by way of a ledger that starts empty."""
+    """The findings of all documents as a digest, by way of a ledger that two increments fill.
+
+    The ledger is a folder below the one that all executors share, new in each run.
+    """
     rows = with_blob(pick(docs, "doc_id", "text").withColumnRenamed("doc_id", "key"))
-    found = findings(rows.select("key", "blob"), scan_unseen(rows, None, rules), rules, several=False)
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    for later in (False, True):
+        bring_up_to_date(rows.where((fold_of(F.col("key")) >= 2) == F.lit(later)), path, rules)
+    found = findings(rows.select("key", "blob"), read_ledger(spark, path), rules)
 
     def of(kind: str) -> Column:
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
