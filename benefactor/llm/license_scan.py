@@ -40,6 +40,33 @@ TEMPLATES = {
     "cc-by-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0",
     "cc-by-nc-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0",
     "cc-by-sa-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by sa 4 0",
+    "gpl-notice": (
+        "is free software [[you can redistribute it and or modify]] it under the terms of the gnu general public license as published by the free software foundation "
+        "[[either]] version <<1>> [[of the license or at your option any later version]] <<12>> is distributed in the hope that it will be useful "
+        "but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"
+    ),
+    "lgpl-notice": (
+        "under the terms of the gnu [[lesser]] [[library]] general public license as published by the free software foundation "
+        "[[either]] version <<2>> [[of the license or at your option any later version]]"
+    ),
+    "agpl-3.0": "gnu affero general public license [[as published by the free software foundation either]] version 3 [[of the license]]",
+    "mpl-2.0-header": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file "
+        "you can obtain one at [[http]] [[https]] [[www]] mozilla org mpl 2 0"
+    ),
+    "zlib-text": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely "
+        "subject to the following restrictions"
+    ),
+    "unlicense-text": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+    ),
+    "boost-1.0-text": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
+        "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"
+    ),
     "mit-text": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
         "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
@@ -78,7 +105,7 @@ class TokenAutomaton:
     def __init__(self, template: str):
         step: dict[str, int] = {}  # word -> states that it leads on from
         skip: list[tuple[int, int]] = []  # optional region: from state, to state
-        open_, free, state = [], 0, 0
+        open_, free, state, needed = [], 0, 0, []
         for mark in _MARK.findall(template):
             if mark == "[[":
                 open_.append(state)
@@ -93,6 +120,8 @@ class TokenAutomaton:
             else:
                 step[mark] = step.get(mark, 0) | 1 << state
                 state += 1
+                if not open_:
+                    needed.append(mark)
         if open_:
             raise ValueError("an optional region is not closed")
         self._step, self._free, self._skip, self._end = step, free, sorted(skip), 1 << state
@@ -100,6 +129,9 @@ class TokenAutomaton:
         if self.start & self._end:
             raise ValueError("a template needs mandatory words")
         self.firsts = {w for w, s in step.items() if s & self.start}
+        if not needed:
+            raise ValueError("a template needs a mandatory word")
+        self.anchor = max(needed, key=len)  # a text without it can't match
         self._next: dict[tuple[int, str], int] = {}
 
     def _closed(self, states: int) -> int:
@@ -139,6 +171,7 @@ class LicenseScanner:
 
     def __post_init__(self):
         self._automata = {label: TokenAutomaton(t) for label, t in self.templates.items()}
+        self.anchors = sorted({a.anchor.encode() for a in self._automata.values()})
         self._by_first: dict[str, list[str]] = {}
         for label, a in self._automata.items():
             for w in a.firsts:
@@ -154,10 +187,6 @@ class LicenseScanner:
         return found
 
 
-#: Every phrase and template needs one of these words, so a text without them matches nothing.
-ANCHORS = (b"licens", b"permission", b"redistribution")
-
-
 def license_digest(docs: DataFrame) -> DataFrame:
     """Base places and labels of every whole text, and the labels of the templates.
 
@@ -167,6 +196,7 @@ def license_digest(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         scanner = LicenseScanner({f"base {label}": phrase for phrase, label in PHRASES.items()} | TEMPLATES)
+        anchors = scanner.anchors  # each template's longest mandatory word: a text without any matches nothing
         for batch in batches:
             data, bounds = utf8(batch.column(1))
             rows = []
@@ -184,7 +214,7 @@ def license_digest(docs: DataFrame) -> DataFrame:
                 whole = lower.tobytes()
                 for i in range(b - a):
                     text, n = whole[own[i] : own[i + 1]], int(counts[i])
-                    if not any(x in text for x in ANCHORS):
+                    if not any(x in text for x in anchors):
                         rows.append((n, 0, None, None, "", "", 0.0))
                         continue
                     words = _WORD.findall(text.decode())
