@@ -1,13 +1,17 @@
 """Ogg containers in binary columns: write, verify, reassemble, demultiplex, time.
 
 `write_ogg` multiplexes packets of logical streams into pages; `read_ogg` walks the pages of
-any Ogg file: it verifies each page's checksum, joins packets from lacing values across pages,
-separates logical streams by serial number and derives each packet's time from the granule
-position of the page that ends it.
+any Ogg file: it verifies each page's checksum, joins packets from lacing values across pages and
+separates logical streams by serial number. A page's granule position is that of the last packet that ends
+in it; with the packets' durations the positions of the packets before it are worked back from there, and
+divided by the rate they are times. Codecs of known durations are the stored payloads of this module and
+Opus; packets of others have a time only where a page states it.
 
 Edge cases: bytes that are null or no Ogg give no streams; a page with a wrong checksum or cut
-short is counted as bad and left out, together with the packet that it breaks; sequence gaps
-are counted; an empty text is stored as one block of spaces. Equal texts give equal files.
+short is counted as bad and left out, together with the packets that it breaks; sequence gaps
+are counted; positions start anew from the next good page. A stored payload is put together by
+positions, so a damaged one is reported as incomplete, never as another payload. An empty text is
+stored as one block of spaces. Equal texts give equal files.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,7 +59,8 @@ def _page(flags: int, granule: int, serial: int, sequence: int, lacing: list[int
 def write_ogg(streams: list[list[tuple[bytes, int]]], serials: list[int], most_segments: int = 255) -> bytes:
     """Streams of (packet, granule position after it), their pages taken in turn.
 
-    Pages hold `most_segments` lacing values at most; a packet runs on where it does not fit.
+    Pages hold `most_segments` lacing values at most; a packet runs on where it does not fit. A stream's
+    first packet has a page of its own.
     """
     waiting = []
     for packets, serial in zip(streams, serials, strict=True):
@@ -63,11 +69,13 @@ def write_ogg(streams: list[list[tuple[bytes, int]]], serials: list[int], most_s
             own = _lacing(len(data))
             segments += [(s, granule, i == len(own) - 1) for i, s in enumerate(own)]
         body, pages, at, inside = b"".join(p for p, _ in packets), [], 0, False
-        for k in range(0, len(segments), most_segments):
-            part = segments[k : k + most_segments]
+        head = len(_lacing(len(packets[0][0]))) if packets else 0
+        cuts = [*range(0, head, most_segments), *range(head, len(segments), most_segments), len(segments)]
+        for k, next_cut in zip(cuts[:-1], cuts[1:], strict=True):
+            part = segments[k:next_cut]
             size = sum(s for s, _, _ in part)
             ended = [g for _, g, end in part if end]
-            flags = CONTINUED * inside | FIRST * (k == 0) | LAST * (k + most_segments >= len(segments))
+            flags = CONTINUED * inside | FIRST * (k == 0) | LAST * (next_cut == len(segments))
             pages.append(_page(flags, ended[-1] if ended else NO_GRANULE, serial, len(pages), [s for s, _, _ in part], body[at : at + size]))
             at, inside = at + size, not part[-1][2]
         waiting.append(pages)
@@ -81,7 +89,7 @@ def write_ogg(streams: list[list[tuple[bytes, int]]], serials: list[int], most_s
 class LogicalStream:
     serial: int
     packets: list[bytes] = field(default_factory=list)
-    granules: list[int] = field(default_factory=list)  # of the page that ends the packet
+    granules: list[int | None] = field(default_factory=list)  # position after each packet; None where it is unknown
     pages: int = 0
     gaps: int = 0
     ended: bool = False
@@ -95,7 +103,13 @@ class OggFile:
     bad_pages: int = 0
 
 
-def read_ogg(data: bytes | None) -> OggFile:
+#: What `read_ogg` asks of a codec: the duration, in units of the granule position, of each packet, given the stream's first packet and the packet.
+Duration = Callable[[bytes, bytes], int | None]
+
+
+def read_ogg(data: bytes | None, duration: Duration | None = None) -> OggFile:
+    """All streams of a file. duration: of packets; `codec_duration` if None."""
+    duration = duration or codec_duration
     out, at = OggFile(), 0
     data = data or b""
     while (at := data.find(CAPTURE, at)) >= 0:
@@ -118,23 +132,66 @@ def read_ogg(data: bytes | None) -> OggFile:
         stream.pages += 1
         stream.ended |= bool(flags & LAST)
         rest = stream._rest if flags & CONTINUED else []
-        place = head_end
+        place, ended = head_end, []  # the packets that end in this page; None for one whose start is lost
         for size in lacing:
             if rest is not None:
                 rest.append(data[place : place + size])
             place += size
             if size < 255:
-                if rest is not None:
-                    stream.packets.append(b"".join(rest))
-                    stream.granules.append(granule)
+                ended.append(None if rest is None else b"".join(rest))
                 rest = []
         stream._rest = rest if lacing and lacing[-1] == 255 else None
+        _place(stream, ended, granule, duration)
         at = end
     return out
 
 
-#: The head packet of a stored payload: magic, sample rate, bits a sample, number of streams, this stream's place.
-_HEAD = struct.Struct("<8sIHHH")
+def _place(stream: LogicalStream, ended: list[bytes | None], granule: int, duration: Duration) -> None:
+    """Add the packets that end in a page: the last is at the page's granule position, those before it by durations back."""
+    first = stream.packets[0] if stream.packets else next((p for p in ended if p is not None), b"")
+    position: int | None = granule if granule != NO_GRANULE else None
+    placed = []
+    for packet in reversed(ended):
+        if packet is None:  # only the first can be lost
+            break
+        placed.append((packet, position))
+        lasts = duration(first, packet)
+        position = None if position is None or lasts is None else position - lasts
+    for packet, where in reversed(placed):
+        stream.packets.append(packet)
+        stream.granules.append(where)
+
+
+def codec_duration(first: bytes, packet: bytes) -> int | None:
+    """Samples in a packet of a known codec; a head packet has none."""
+    if first[:8] == _MAGIC:
+        return 0 if packet is first or packet[:8] == _MAGIC else len(packet)
+    if first[:8] == b"OpusHead":
+        return 0 if packet[:8] in (b"OpusHead", b"OpusTags") else opus_samples(packet)
+    return None
+
+
+def codec_rate(first: bytes) -> int | None:
+    """Granule positions in a second."""
+    if first[:8] == _MAGIC and len(first) == _HEAD.size:
+        return _HEAD.unpack(first)[1]
+    return 48_000 if first[:8] == b"OpusHead" else None
+
+
+#: Fixed values of Opus: samples at 48 kHz of a frame, by the upper five bits of a packet's first byte.
+OPUS_FRAMES = [480, 960, 1920, 2880] * 3 + [480, 960] * 2 + [120, 240, 480, 960] * 4
+
+
+def opus_samples(packet: bytes) -> int | None:
+    """The packet's frames times their length, from its first bytes."""
+    if not packet or packet[0] & 3 == 3 and len(packet) < 2:
+        return None
+    frames = (1, 2, 2, packet[1] & 63 if packet[0] & 3 == 3 else 0)[packet[0] & 3]
+    return frames * OPUS_FRAMES[packet[0] >> 3]
+
+
+#: The head packet of a stored payload: magic, sample rate, bits a sample, number of streams, this stream's place, samples in a block, samples in all.
+_HEAD = struct.Struct("<8sIHHHIQ")
 _MAGIC = b"PCMtext\0"
 
 
@@ -154,56 +211,71 @@ def pad(data: bytes, unit: int) -> bytes:
 def store(payload: bytes, params: OggParams = OggParams()) -> bytes:
     """8-bit samples as packets of `block` samples, dealt to the logical streams in turn.
 
-    Granule positions count the samples of the whole payload up to the packet's end.
+    Granule positions count the samples of the stream up to the packet's end.
     """
-    streams = [[(_HEAD.pack(_MAGIC, params.rate, 8, params.streams, s), 0)] for s in range(params.streams)]
+    streams = [[(_HEAD.pack(_MAGIC, params.rate, 8, params.streams, s, params.block, len(payload)), 0)] for s in range(params.streams)]
+    ends = [0] * params.streams
     for k, at in enumerate(range(0, len(payload), params.block)):
-        part = payload[at : at + params.block]
-        streams[k % params.streams].append((part, at + len(part)))
+        part, s = payload[at : at + params.block], k % params.streams
+        ends[s] += len(part)
+        streams[s].append((part, ends[s]))
     return write_ogg(streams, [0x5350 + s for s in range(params.streams)], params.segments)
 
 
-def load(stored: bytes) -> tuple[bytes, str]:
-    """The payload, put together from the streams, and a line of features."""
+def load(stored: bytes) -> tuple[bytes | None, str]:
+    """The payload, put together from the streams by the positions of their packets, and a line of features.
+
+    The payload is None if a part of it is missing; the features then speak of what is there.
+    """
     ogg = read_ogg(stored)
-    heads = {s.serial: _HEAD.unpack(s.packets[0]) for s in ogg.streams.values() if s.packets and s.packets[0][:8] == _MAGIC}
-    order = sorted(heads, key=lambda serial: heads[serial][4])
-    data = [ogg.streams[serial].packets[1:] for serial in order]
-    blocks = [data[k % len(data)][k // len(data)] for k in range(sum(map(len, data)))] if data else []
-    payload = b"".join(blocks)
-    rate = heads[order[0]][1] if order else 0
-    last = max((g for s in ogg.streams.values() for g in s.granules if g >= 0), default=0)
+    blocks: dict[int, bytes] = {}
+    total = rate = 0
+    last = 0.0
+    for stream in ogg.streams.values():
+        first = stream.packets[0] if stream.packets else b""
+        if first[:8] != _MAGIC or len(first) != _HEAD.size:
+            continue  # the head is lost, and with it the stream's place
+        _, rate, _, streams, place, block, total = _HEAD.unpack(first)
+        for packet, end in zip(stream.packets[1:], stream.granules[1:], strict=True):
+            if end is not None:
+                blocks[((end - len(packet)) // block * streams + place) * block] = packet
+                last = max(last, end / rate)
+    payload = b"".join(blocks[at] for at in sorted(blocks))
     samples = np.frombuffer(payload, np.uint8)
     signed = samples.astype(np.int16) - 128
     n = max(1, len(samples))
     crossings = int(np.count_nonzero((signed[1:] < 0) != (signed[:-1] < 0)))
+    whole = total > 0 and len(payload) == total
     feature = (
         f"streams={len(ogg.streams)};pages={sum(s.pages for s in ogg.streams.values())};packets={sum(len(s.packets) for s in ogg.streams.values())};"
-        f"bad={ogg.bad_pages};gaps={sum(s.gaps for s in ogg.streams.values())};ended={int(all(s.ended for s in ogg.streams.values()))};"
-        f"ms={last * 1000 // rate if rate else 0};sum={int(samples.sum(dtype=np.int64))};"
+        f"bad={ogg.bad_pages};gaps={sum(s.gaps for s in ogg.streams.values())};ended={int(all(s.ended for s in ogg.streams.values()))};whole={int(whole)};"
+        f"ms={last * 1000:.0f};sum={int(samples.sum(dtype=np.int64))};"
         f"rms={np.sqrt(np.square(signed, dtype=np.int32).sum(dtype=np.int64) / n):.4f};crossings={crossings}"
     )
-    return payload, feature
+    return payload if whole else None, feature
 
 
 def packets(df: DataFrame, column: str, key: str) -> DataFrame:
-    """All packets of a binary column: key, serial, packet number, granule, n_bytes, data."""
+    """All packets of a binary column: key, serial, packet number, granule (position after it), end_s (the same in seconds), n_bytes, data.
+
+    granule and end_s are null where neither the page nor the codec tells.
+    """
 
     def run(batches):
         for batch in batches:
             for k, blob in zip(batch.column(0), batch.column(1), strict=True):
                 rows = [
-                    (k.as_py(), s.serial, i, g, len(p), p)
+                    (k.as_py(), s.serial, i, g, None if g is None or not (rate := codec_rate(s.packets[0])) else g / rate, len(p), p)
                     for s in read_ogg(blob.as_py()).streams.values()
                     for i, (p, g) in enumerate(zip(s.packets, s.granules, strict=True))
                 ]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
-    names = ["key", "serial", "packet", "granule", "n_bytes", "data"]
+    names = ["key", "serial", "packet", "granule", "end_s", "n_bytes", "data"]
     kind = pick(df, key).schema[0].dataType
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind.simpleString(), pa.string())
-    schema = pa.schema(list(zip(names, [arrow, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], strict=True)))
-    sql = f"key {kind.simpleString() if arrow != pa.string() else 'string'}, serial long, packet int, granule long, n_bytes long, data binary"
+    schema = pa.schema(list(zip(names, [arrow, pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.binary()], strict=True)))
+    sql = f"key {kind.simpleString() if arrow != pa.string() else 'string'}, serial long, packet int, granule long, end_s double, n_bytes long, data binary"
     rows = pick(df, key, column)
     return rows.select(rows[key] if arrow != pa.string() else rows[key].cast("string"), rows[column]).mapInArrow(run, sql)
 
@@ -221,6 +293,8 @@ def media_digest(docs: DataFrame, params: OggParams = OggParams()) -> DataFrame:
                 raw = buffer.to_pybytes() if buffer is not None else b""
                 stored = store(pad(raw, params.unit), params)
                 payload, feature = load(stored)
+                if payload is None:
+                    raise ValueError("a payload that was just stored did not come back whole")
                 row = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
