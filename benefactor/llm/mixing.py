@@ -7,12 +7,16 @@ interval crosses. With equal expectations the sum is rank times expectation, so
 needed. They come from counts by (source, size, bucket), summed up level by level, and a
 row_number inside one bucket: no window holds a source, or a group of equal sizes, as a whole.
 
-Sorting by size bounds a source's error by its largest document. Of `tries` hashed offsets the
-one whose take is nearest the target is used, which lowers that error further; what it costs is
-that a large document's chance is not exactly its expectation.
+Sorting by size bounds a source's error by its largest document: with one offset, what is taken
+differs from the target by less than that document's size (tests hold it). On a table of few documents
+a source that one document dominates is off by so much; at scale it is a vanishing share.
+
+Targets are worked out on the table of sources, which is never collected: a source's place in the
+order comes from ranges and their counts, and the common level that reshares the excess from a few sums.
 
 Edge cases: a null source is a source, the last in order; a null or empty text has size 0 and
-is given its copies like others (0 words); repeated rows are ranked separately; with no words
+is given its copies like others (0 words); repeated rows are ranked separately; rows without an id come
+after all others of their source and size, and those are alike; with no words
 at all every target is 0; an empty table gives an empty result.
 """
 
@@ -31,28 +35,51 @@ class MixParams:
     weights: tuple[int, ...] = (5, 2, 1)  # of the sources in order, repeating
     share: float = 1.5  # of all sizes, to be taken
     most: float = 2.0  # times a source's own size
-    buckets: int = 1024  # of rows of one source and size
-    tries: int = 16
+    buckets: int = 1024  # of rows of one source and size, and as many of those without an id
     seed: int = 7
+    broadcast_sources: int = 100_000  # a table of more sources is joined by a shuffle
+
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """`sources` (source, ...) with `place`, from 0 in the order of code points, null last.
+
+    Ranges of sources are counted, and the counts summed up: no task holds all sources.
+    """
+    order = (F.col("source").isNull(), F.col("source"))
+    ranged = cut_lineage(sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return ranged.withColumn("within", within).join(before.drop("n"), "part").withColumn("place", F.col("before") + F.col("within")).drop("part", "within", "before")
 
-def targets(sizes: list[tuple[str | None, int]], params: MixParams = MixParams()) -> dict[str | None, float]:
-    """Each source's target words: shares by weight, capped; the excess goes to the others by weight."""
-    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    weight = {s: params.weights[i % len(params.weights)] for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    left, open_, out = params.share * sum(size.values()), dict(weight), {}
-    while open_:
-        total = sum(open_.values())
-        full = [s for s in open_ if left * open_[s] / total > params.most * size[s]]
-        if not full:
-            out |= {s: left * w / total for s, w in open_.items()}
+
+def targets(sources: DataFrame, params: MixParams = MixParams()) -> DataFrame:
+    """`sources` (source, source_size) with target words: shares by weight, capped; the excess goes to the others by weight.
+
+    All sources that are not full take `level` words for each unit of weight. A higher level fills more
+    sources, whose excess raises it, until no further source is full.
+    """
+    weights = F.array(*[F.lit(w) for w in params.weights])
+    plan = _numbered(sources).withColumn("weight", weights[F.pmod("place", F.lit(len(params.weights))).cast("int")].cast("double"))
+    plan = cut_lineage(plan.withColumn("most", params.most * F.col("source_size")).drop("place"))
+    level, full = 0.0, -1
+    while True:
+        is_full = F.col("weight") * level > F.col("most")
+        row = plan.agg(
+            F.sum("source_size").alias("size"),
+            F.sum(F.when(is_full, F.col("most")).otherwise(0.0)).alias("given"),
+            F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))).alias("open"),
+            F.sum(is_full.cast("long")).alias("full"),
+        ).first()
+        if row["size"] is None or row["full"] == full or not row["open"]:
             break
-        for s in full:
-            out[s] = params.most * size[s]
-            del open_[s]
-        left = max(0.0, left - sum(out[s] for s in full))
-    return out
+        level, full = max(0.0, params.share * row["size"] - row["given"]) / row["open"], row["full"]
+    return plan.withColumn("target", F.least("most", F.col("weight") * level)).select("source", "source_size", "target")
+
+
+def _hash(text: Column, seed: int) -> Column:
+    """28 bits of a digest that SQL engines agree on."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), text).cast("binary")), 1, 7), 16, 10).cast("long")
 
 
 def _copies(rank: Column, expected: Column, offset: Column) -> Column:
@@ -60,22 +87,19 @@ def _copies(rank: Column, expected: Column, offset: Column) -> Column:
 
 
 def mix(sized: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """`sized` (key, source, size) with source_size, target and copies.
-
-    The table of sources is collected to the driver to reshare the targets, and its plan goes
-    back as a table that is joined, broadcast only if the session's threshold allows.
-    """
-    spark = sized.sparkSession
-    salt = F.pmod(F.xxhash64("key", F.lit(params.seed)), F.lit(params.buckets)).cast("int")
-    rows = cut_lineage(sized.withColumn("bucket", salt))
+    """`sized` (key, source, size) with source_size, target and copies."""
+    salt = _hash(F.col("key").cast("string"), params.seed) % params.buckets
+    # rows without an id would share one bucket: they are alike, and dealt by their place in the table
+    lone = F.lit(params.buckets) + F.pmod(F.monotonically_increasing_id(), F.lit(params.buckets))
+    rows = cut_lineage(sized.withColumn("bucket", F.when(F.col("key").isNull(), lone).otherwise(salt).cast("int")))
     cells = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     levels = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
 
-    by_source = levels.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).collect()
-    target = targets([(r["source"], r["source_size"]) for r in by_source], params)
-    plan = spark.createDataFrame(
-        [(r["source"], int(r["source_size"]), float(target[r["source"]])) for r in by_source], "source string, source_size long, target double"
-    ).withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(params.share)))
+    plan = cut_lineage(targets(levels.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), params))
+    n_sources = plan.count()
+    offset = _hash(F.coalesce("source", F.lit("\u0000")), params.seed) / F.lit(float(1 << 28))
+    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(params.share))
+    plan = plan.withColumn("expected", expected).withColumn("offset", offset)
 
     # rows of the source before this size, then before this bucket of the size
     by_size = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
@@ -95,22 +119,8 @@ def mix(sized: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     ranked = same(rows.withColumn("place", F.row_number().over(own)), offsets, "source", "size", "bucket").withColumn(
         "rank", F.col("before_size") + F.col("before_bucket") + F.col("place")
     )
-    ranked = same(ranked, F.broadcast(plan) if len(by_source) <= 100_000 else plan, "source")
-
-    def start(k: int) -> Column:
-        return F.pmod(F.xxhash64(F.coalesce("source", F.lit("\u0000")), F.lit(params.seed), F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-    takes = ranked.groupBy("source").agg(
-        F.first("target").alias("goal"),
-        *[F.sum(_copies(F.col("rank"), F.col("expected"), start(k)) * F.col("size")).alias(f"take{k}") for k in range(params.tries)],
-    )
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"take{k}") - F.col("goal")).alias("off"), F.lit(k).alias("k")) for k in range(params.tries)]))
-    # one row a source, as the plan has: collected, so that the ranks are not shuffled again
-    chosen = takes.select("source", nearest["k"].alias("k")).collect()
-    picked = spark.createDataFrame([(r["source"], r["k"]) for r in chosen], "source string, k int")
-    final = same(ranked, F.broadcast(picked) if len(chosen) <= 100_000 else picked, "source")
-    offset = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\u0000")), F.lit(params.seed), F.col("k")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return final.withColumn("copies", _copies(F.col("rank"), F.col("expected"), offset)).select(
+    final = same(ranked, F.broadcast(plan) if n_sources <= params.broadcast_sources else plan, "source")
+    return final.withColumn("copies", _copies(F.col("rank"), F.col("expected"), F.col("offset"))).select(
         "key", "source", "size", "source_size", "target", "copies"
     )
 
