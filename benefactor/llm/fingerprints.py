@@ -8,7 +8,8 @@ likeness is (agreement - chance) / (1 - chance), kept within 0 and 1.
 
 `with_next` streams through the documents in falling doc_id order to compare each with its edited
 form and with the next one: ranges of ids are dealt to partitions, sorted there, and the first
-row of each range is also sent to the range before it, so no task holds the whole order.
+row of each range is also sent to the range before it, so no task holds the whole order. The cuts
+between ranges come from a hashed sample of ids of bounded size and are looked up by bisection.
 
 Edge cases: a null text is empty; a text without words has the fingerprint of the empty set, all
 zeros, and equals another such text (likeness 1); rows that repeat a doc_id are ordered by text;
@@ -18,15 +19,17 @@ a null doc_id comes last; a single document is its own next.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benefactor.llm import hashing
-from benefactor.llm.common import pick
+from benefactor.llm.common import pick, share_below
 
 
 @dataclass(frozen=True)
@@ -35,7 +38,9 @@ class FingerprintParams:
     bins: int = 256  # a power of two
     bits: int = 8
     rows_per_range: int = 4096  # documents in a range of ids
-    max_ranges: int = 2000  # beyond it ranges grow; each is sorted with spilling and streamed
+    range_bytes: int = 32 << 20  # of text in a range, where documents are long
+    max_ranges: int = 1 << 16  # beyond it ranges grow; each is sorted with spilling and streamed
+    sample: int = 24  # ids for each range, which the cuts are taken from
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -118,27 +123,29 @@ def with_next(docs: DataFrame, params: FingerprintParams = FingerprintParams())
     rows = pick(docs, "doc_id", "text")
     low = F.coalesce("doc_id", F.lit(-(1 << 63)))
     rows = rows.withColumn("key", low)
-    total = rows.count()
+    total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not total:
         return rows.sparkSession.createDataFrame([], _SCHEMA)
-    ranges = min(params.max_ranges, max(1, -(-total // params.rows_per_range)))
-    cuts = rows.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    # range 0 has the highest ids: the stream runs from range to range in falling order
-    place = F.lit(len(cuts))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else None
+    ranges = min(params.max_ranges, max(1, -(-total // params.rows_per_range), -(-size // params.range_bytes)))
+    part = min(1.0, params.sample * ranges / total)
+    drawn = np.sort(np.array([r["key"] for r in rows.where(share_below(F.col("key"), part, 307)).select("key").distinct().collect()], np.int64))
+    cuts = sorted({float(drawn[len(drawn) * i // ranges]) for i in range(1, ranges)}) if len(drawn) else []
+    # range 0 has the highest ids: the stream runs from range to range in falling order. Ids beyond 2**53
+    # may share a float with their neighbours, and then share a range
+    placed = rows.withColumn("place", F.col("key").cast("double"))
     if cuts:
-        place = F.lit(len(cuts)) - F.size(F.filter(bounds, lambda c: c <= F.col("key")))
-    ranged = rows.withColumn("range", place.cast("int"))
+        placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="place", outputCol="bucket").transform(placed)
+    else:
+        placed = placed.withColumn("bucket", F.lit(0.0))
+    ranged = placed.withColumn("range", (F.lit(len(cuts)) - F.col("bucket")).cast("int")).drop("place", "bucket")
+    # a row a range: its highest id, and the range before it, to which that row goes too; the first one's goes to the last range
     heads = {r["range"]: r["head"] for r in ranged.groupBy("range").agg(F.max("key").alias("head")).collect()}
     order = sorted(heads)
-    before = {order[i]: order[i - 1] for i in range(len(order))}  # the first one's head goes to the last range
-    sent = F.create_map(*[F.lit(x) for k in order for x in (k, heads[k])])
-    goes = F.create_map(*[F.lit(x) for k in order for x in (k, before[k])])
-    is_head = F.col("key") == sent[F.col("range")]
+    guests = rows.sparkSession.createDataFrame([(heads[k], order[i - 1]) for i, k in enumerate(order)], "head long, goes int")
+    met = ranged.join(F.broadcast(guests), F.col("key") == F.col("head"), "left")
     own = F.struct(F.col("range"), F.lit(0).alias("guest"))
-    guest = F.struct(goes[F.col("range")].alias("range"), F.lit(1).alias("guest"))
-    twice = ranged.withColumn("to", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))))
+    guest = F.struct(F.col("goes").alias("range"), F.lit(1).alias("guest"))
+    twice = met.withColumn("to", F.explode(F.when(F.col("goes").isNotNull(), F.array(own, guest)).otherwise(F.array(own))))
     # a partition for each range: by number, not by hash, which would put several ranges into one
     laid = (
         twice.select("doc_id", "text", "key", F.col("to.range").alias("range"), F.col("to.guest").alias("guest"))
