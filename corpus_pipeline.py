@@ -2,18 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 DataFrame; all but the last have the columns of documents. `run` writes each stage's result as
-Parquet below the session's checkpoint folder and reads it again for the next.
+Parquet below the folder that all executors share, reads it again for the next, and deletes it once that is written.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from benefactor.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from benefactor.llm.common import table
+from benefactor.llm.common import remove_folder, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,16 +48,19 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: The classifier and the tokenizer are beyond SQL: tests hold the stages against brute force.
+#: The classifier and the tokenizer are beyond SQL: a test holds each stage's rows against a model in plain Python.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; the last one's rows."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    base = f"{folder}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+def run(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
+    """All stages on documents; the last one's rows. keep: leave the folders of the stages before it."""
+    base = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last and not keep:
+            remove_folder(spark, last)
+        last = path
     return docs
