@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -72,6 +73,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop broadcasts, shuffle files and checkpoints of tables that nothing refers to any more.
+
+    It learns of them when the driver's JVM collects garbage, which a driver with much memory may not do for hours.
+    """
+    gc.collect()  # Python's references first
+    spark.sparkContext._jvm.System.gc()
+
+
 def share_below(key: Column, fraction: float | Column, seed: int) -> Column:
     """True for about `fraction` of the keys, decided by a hash: the same rows on every run."""
     limit = (fraction if isinstance(fraction, Column) else F.lit(float(fraction))) * F.lit(float(1 << 30))

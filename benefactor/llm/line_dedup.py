@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benefactor.llm.common import PLAIN_WORD, cut_lineage, pick, text_hash
+from benefactor.llm.common import PLAIN_WORD, cut_lineage, pick, text_hash, tidy
 from benefactor.llm.ngram_join import JoinParams, similarity_components
 
 
@@ -88,6 +88,7 @@ def boilerplate(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     met = cut_lineage(seen.join(wide, F.col("line") == F.col("wide")).select("hash", "site", "line", "near"))
     # (line, site) pairs are few however many documents hold the line: each task sends a pair once
     exact = met.where("near").groupBy("line").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= least).select(F.col("line").alias("sure"))
+    tidy(docs.sparkSession)
     near = met.where("near").select("hash", "line").join(cut_lineage(exact), F.col("line") == F.col("sure"), "left_semi")
     return met.where("not near").select("hash", "line").union(near).groupBy("hash").agg(F.collect_set("line").alias("lines"))
 

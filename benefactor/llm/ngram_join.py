@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benefactor.llm import blocks, hashing
-from benefactor.llm.common import PLAIN_WORD, cut_lineage, pick, text_hash, utf8
+from benefactor.llm.common import PLAIN_WORD, cut_lineage, pick, text_hash, tidy, utf8
 
 
 @dataclass(frozen=True)
@@ -55,6 +55,7 @@ class JoinParams:
     max_match: int = 64
     range_bytes: int = 6 << 20  # of text, for each range of shingles
     broadcast_rows: int = 1 << 17  # rows of three longs that may be broadcast; beyond it joins shuffle
+    task_edges: int = 1 << 18  # edges between components that one task contracts; more take rounds
     hot_class: int = 12  # shingles in 2**12 documents or more go to their buckets without being gathered first
     rounds: int = 1  # hub rounds before what remains open is met in blocks
     hubs: int = 16  # of a bucket in a round
@@ -365,15 +366,23 @@ def verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, params: JoinParams
     return met.mapInArrow(run, "x long, y long").distinct()
 
 
-def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
+def contract(labels: DataFrame, links: DataFrame, n_labels: int, params: JoinParams) -> DataFrame:
     """labels (doc, comp) after joining the components of linked documents; comp is the least.
 
-    Each round hooks every component to its least neighbour and follows the pointers twice, so
-    that chains shrink by their power; labels are rewritten lazily and checkpointed once.
+    Links become edges between components. Up to `task_edges` of them, counted, are contracted in
+    one task; more in rounds: each hooks every component to its least neighbour and follows the
+    pointers twice, so that chains shrink by their power.
     """
-    a = labels.select(F.col("doc").alias("x"), F.col("comp").alias("cx"))
-    b = labels.select(F.col("doc").alias("y"), F.col("comp").alias("cy"))
+    small = _small(labels, n_labels, params)
+    a = small.select(F.col("doc").alias("x"), F.col("comp").alias("cx"))
+    b = small.select(F.col("doc").alias("y"), F.col("comp").alias("cy"))
     edges = cut_lineage(links.join(a, "x").join(b, "y").where("cx <> cy").select(F.least("cx", "cy").alias("low"), F.greatest("cx", "cy").alias("high")).distinct())
+    n_edges = edges.count()
+    if not n_edges:
+        return labels
+    if n_edges <= params.task_edges:
+        up = _small(edges.repartition(1).mapInArrow(_roots, "c long, p long"), n_edges, params)
+        return cut_lineage(labels.join(up.withColumnRenamed("c", "comp"), "comp", "left").select("doc", F.coalesce("p", "comp").alias("comp")))
     while not edges.isEmpty():
         ends = edges.select(F.col("low").alias("c"), F.col("high").alias("o")).union(edges.select(F.col("high").alias("c"), F.col("low").alias("o")))
         up = cut_lineage(ends.groupBy("c").agg(F.least("c", F.min("o")).alias("p")))
@@ -389,6 +398,25 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(labels)
 
 
+def _roots(batches):
+    """Of edges (low, high) the nodes that are not their component's least, and that: c, p."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    low, high = (np.concatenate(side) for side in zip(*held, strict=True))
+    nodes, place = np.unique(np.concatenate([low, high]), return_inverse=True)
+    low, high, root = place[: len(low)], place[len(low) :], np.arange(len(nodes))
+    while True:
+        a, b = root[low], root[high]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["c", "p"])
+
+
 def _earlier(x: Column, y: Column) -> Column:
     """For a document and a hub the value of the document whose prefix ends earlier in the order; the greater one if they end alike."""
     return F.when(F.col("ex") < F.col("ey"), x).when(F.col("ey") < F.col("ex"), y).otherwise(F.greatest(x, y))
@@ -427,13 +455,14 @@ def components(docs: DataFrame, reps: DataFrame, entries: DataFrame, params: Joi
     for turn in range(params.rounds + 1):
         marked = entries.join(_small(labels, n_active, params), "doc")
         open_ = marked.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-        marked = marked.join(open_, "token", "left_semi")
+        marked = cut_lineage(marked.join(open_, "token", "left_semi"))
         if turn < params.rounds:
             pairs = cut_lineage(_to_hubs(marked, turn, params))
             links = verified(pairs, pairs.count(), sets, params)
         else:
-            links = _met(cut_lineage(marked), sets, params)
-        labels = contract(labels, links)
+            links = _met(marked, sets, params)
+        labels = contract(labels, links, n_active, params)
+        tidy(docs.sparkSession)
     return labels
 
 

@@ -125,19 +125,31 @@ def test_join_equals_brute_force(spark, docs):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(rows, 4, 85)
 
 
-@pytest.mark.parametrize("rounds,table", [(0, 1 << 20), (2, 0)])
-def test_join_of_dense_groups(spark, rounds, table):
+@pytest.mark.parametrize("rounds,table,others", [(0, 1 << 20, {}), (1, 1 << 20, {"block_docs": 4, "block_bytes": 900, "hot_class": 3}), (2, 0, {"task_edges": 0, "broadcast_rows": 0})])
+def test_join_of_dense_groups(spark, rounds, table, others):
     """Chains of near copies, negative ids, short texts; with and without hub rounds and frequencies."""
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(60)]
     rows = [(i - 40, " ".join(w if rng.random() > 0.03 else f"e{rng.integers(99)}" for w in base)) for i in range(80)]
     rows += [(100 + i, " ".join(base[:i])) for i in range(8)] + [(200 + i, f"other text of its own number {i}") for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    params = ngram_join.JoinParams(width=3, numerator=80, rounds=rounds, table=table, range_bytes=2000)
+    params = ngram_join.JoinParams(width=3, numerator=80, rounds=rounds, table=table, range_bytes=2000, **others)
     got = by_id(ngram_join.similarity_components(df, params))
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(rows, 3, 80)
 
 
+def test_texts_under_one_id_and_without(spark):
+    """Each text has its own links, whatever ids the rows have; keep_one goes by texts."""
+    words = [f"w{i}" for i in range(200)]
+    long, short = " ".join(words), " ".join(words[:30])
+    rows = [(7, long), (7, short), (3, short + " more"), (None, long + " end"), (None, long + " end"), (9, "quite another text of seven words"), (9, "and one that is not like it"), (8, "")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, mark int").repartition(3)
+    params = ngram_join.JoinParams()
+    got = sorted((r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_components(df, params).collect())
+    assert got == [(0, 8), (2, 9), (3, 9), (26, 3), (27, 3), (196, 7), (197, 7), (197, 7)]
+    assert sorted(r["mark"] for r in ngram_join.keep_one(df, params).collect()) == [0, 2, 5, 6, 7]
+
+
 @pytest.mark.parametrize("name", oracle_sql())
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
