@@ -31,7 +31,7 @@ SELECT CASE WHEN d.doc_id % 97 = 96 THEN NULL
             WHEN d.doc_id % 17 = 4 THEN CAST(2008 + d.doc_id % 19 AS STRING) || '.0'
             ELSE CAST(2008 + d.doc_id % 19 AS STRING) END AS year_epub,
        CASE WHEN d.doc_id % 23 = 7 THEN NULL ELSE CAST(2007 + (d.doc_id * 7) % 19 AS STRING) END AS year_ppub,
-       CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE substr(d.text, 1, 200) || ' Supported by the ' || v1.variant || '.' END AS fund_text,
+       CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE d.text || ' Supported by the ' || v1.variant || '.' END AS fund_text,
        CASE WHEN d.doc_id % 4 = 1 THEN lower(v2.variant) ELSE NULL END AS fund_pmc_source,
        CASE WHEN d.doc_id % 6 = 2 THEN 'x' || v2.variant || 'é' ELSE NULL END AS fund_pmc_institute,
        CASE WHEN d.doc_id % 8 = 5 THEN 'the most common source' ELSE NULL END AS fund_pmc_anysource
