@@ -66,11 +66,17 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder all executors share."""
+    """A reliable checkpoint in the folder all executors share.
+
+    The driver's garbage is collected after it: plans and their states are dead by then, and a long
+    chain of checkpoints would let the driver's heap grow to its limit before it collects them itself.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    context._jvm.System.gc()
+    return written
 
 
 def tidy(spark: SparkSession) -> None:
