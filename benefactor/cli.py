@@ -1,4 +1,4 @@
-"""The five programs: dashboard, summary, trends, plot, table."""
+"""The programs: dashboard, summary, trends, plot, table, suggest."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benefactor.operators import dashboard, metrics, ranking
+from benefactor.operators import dashboard, metrics, ranking, suggest
 from benefactor.operators.aliases import AliasDictionary
 from benefactor.reports import charts, latex
 from benefactor.session import build_session
@@ -48,6 +48,7 @@ def _parser() -> argparse.ArgumentParser:
         "table", ("--input", "-i", need), ("--aliases", "-a", {"default": None}), ("--output", "-o", {"default": None}), ("--sort-by", {"choices": list(latex.SORT_KEYS), "default": "total_pubs"}),
         ("--ascending", switch), ("--color-pubs", switch), ("--color-pct", switch), ("--limit", "-n", {"type": int, "default": None}),
     )
+    program("suggest", ("--discovered", need), aliases, ("--output", need), ("--min-count", {"type": int, "default": 1000}))
     return parser
 
 
@@ -113,7 +114,7 @@ def run_trends(spark: SparkSession, args: argparse.Namespace) -> None:
         sinks.write_report_csv(wide, f"{args.output_dir}/{COUNTS_FILE}.csv", index="display_name")
         _chart(spark, wide.drop("total").limit(10), f"{args.output_dir}/{COUNTS_FILE}", ["png"], "Open data research articles", "Articles", False)
     if args.graph in ("percentages", "both"):
-        rates = metrics.trend_percentages(counts, metrics.trend_totals(cube))
+        rates = metrics.cube_percentages(cube)
         wide = ranking.percentages_wide(rates, names, years, dictionary).drop("funder")
         sinks.write_report_csv(wide, f"{args.output_dir}/{RATES_FILE}.csv", index="display_name")
         _chart(spark, wide.limit(10), f"{args.output_dir}/{RATES_FILE}", ["png"], "Open data rate", "Rate (%)", True)
@@ -125,7 +126,12 @@ def run_trends(spark: SparkSession, args: argparse.Namespace) -> None:
 def _chart(spark: SparkSession, wide: DataFrame, stem: str, formats: list[str], title: str, label: str, percent: bool, **more):
     """Ten lines at most."""
     table = wide.toPandas().set_index("display_name")
-    return charts.line_chart(table, more.pop("names", list(table.index)), [f"{stem}.{f}" for f in formats], title, label, percent, **more)
+    outputs = [f"{stem}.{f}" for f in formats]
+    return charts.line_chart(table, more.pop("names", list(table.index)), outputs, title, label, percent, write=_writer(spark), **more)
+
+
+def _writer(spark: SparkSession) -> charts.Writer:
+    return lambda path, data: sinks.write_bytes(spark, [data], path)
 
 
 def run_plot(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -138,7 +144,7 @@ def run_plot(spark: SparkSession, args: argparse.Namespace) -> None:
         shown = wide.where(F.col("display_name").isin(names))
         drawn = _chart(spark, shown, f"{args.output_dir}/{file}", args.format, title, label, percent, names=names, legend=legend, colour_of=colour_of)
         if args.separate_legends:
-            charts.save_legend(*drawn, [f"{args.output_dir}/{file}_legend.{f}" for f in args.format], args.legend_orientation)
+            charts.save_legend(*drawn, [f"{args.output_dir}/{file}_legend.{f}" for f in args.format], args.legend_orientation, _writer(spark))
 
 
 def run_table(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -150,7 +156,14 @@ def run_table(spark: SparkSession, args: argparse.Namespace) -> None:
         print(text)
 
 
-PROGRAMS = {"dashboard": run_dashboard, "summary": run_summary, "trends": run_trends, "plot": run_plot, "table": run_table}
+def run_suggest(spark: SparkSession, args: argparse.Namespace) -> None:
+    sinks.check_output_folder(spark, args.output)
+    discovered = readers.read_discovered(spark, args.discovered)
+    rows = sinks.write_csv(suggest.suggest_aliases(discovered, _dictionary(spark, args.funder_aliases), args.min_count), args.output)
+    print(f"{rows:,} suggestions")
+
+
+PROGRAMS = {"dashboard": run_dashboard, "summary": run_summary, "trends": run_trends, "plot": run_plot, "table": run_table, "suggest": run_suggest}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:

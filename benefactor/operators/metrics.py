@@ -149,6 +149,11 @@ def trend_percentages(counts: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+def cube_percentages(cube: DataFrame) -> DataFrame:
+    """What trend_percentages gives for the counts and totals of one cube, which has both in a row."""
+    return cube.where("shared > 0").select("funder", "year", S.percentage(F.col("shared"), F.col("total")).alias("pct"))
+
+
 def remaining_funders(spark: SparkSession, dictionary: AliasDictionary, aggregate_children: bool) -> DataFrame:
     names = [c for c in dictionary.names() if not (aggregate_children and c in dictionary.parent)]
     return spark.createDataFrame([(c,) for c in names], "funder string")

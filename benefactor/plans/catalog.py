@@ -66,7 +66,7 @@ def _wide_counts(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
 
 def _wide_percentages(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
     cube = _cube(t, True)
-    rates = metrics.trend_percentages(metrics.trend_counts(cube), metrics.trend_totals(cube))
+    rates = metrics.cube_percentages(cube)
     return ranking.percentages_wide(rates, _names(spark), SHOWN_YEARS, shipped())
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.java_gateway import is_instance_of
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,14 +20,6 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.parquet", lim
     return sorted(r["path"] for r in found.select("path").collect())[:limit]
 
 
-def read_parquet_files(spark: SparkSession, folder: str, schema: str, limit: int | None = None) -> DataFrame:
-    """All Parquet files of a folder (or its first `limit`) in one scan, columns merged and padded."""
-    paths = list_files(spark, folder, limit=limit) if limit is not None else [folder]
-    if not paths:
-        raise ValueError(f"no Parquet files in {folder}")
-    return T.padded(spark.read.option("mergeSchema", "true").parquet(*paths), schema)
-
-
 def read_articles(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """Article metadata; the id is in pmcid_pmc or, where a table has no such column, in pmcid."""
     paths = list_files(spark, folder, limit=limit) if limit is not None else [folder]
@@ -41,6 +35,20 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     return T.padded(spark.read.parquet(path), T.DETECTIONS)
 
 
+def _no_such_table(spark: SparkSession, error: Exception) -> bool:
+    """Whether a database says that a table does not exist; any other fault is not this one.
+
+    SQL states of class 42 name it: 42S02, 42P01 or 42X05. A database without states says so in words.
+    """
+    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    while cause is not None:
+        if is_instance_of(spark.sparkContext._gateway, cause, "java.sql.SQLException"):
+            state = cause.getSQLState()
+            return state in ("42S02", "42P01", "42X05") or (state is None and "no such table" in str(cause.getMessage()))
+        cause = cause.getCause()
+    return False
+
+
 #: Names under which the registry table is looked for, in order.
 REGISTRY_TABLES = ("pmcid_registry", "pmcids")
 
@@ -55,31 +63,42 @@ def read_registry(spark: SparkSession, path: str, **jdbc: str) -> DataFrame:
         def load(name: str) -> DataFrame:
             return spark.read.format("jdbc").options(url=path, dbtable=name, **jdbc).load()
 
-        missing: tuple[type[Exception], ...] = (Exception,)
+        def missing(error: Exception) -> bool:
+            return _no_such_table(spark, error)
+
     else:
 
         def load(name: str) -> DataFrame:
             return spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
 
-        missing = (AnalysisException,)
+        def missing(error: Exception) -> bool:
+            return isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
+
         if path.endswith(".parquet"):
             return T.padded(spark.read.parquet(path), T.REGISTRY)
     for name in REGISTRY_TABLES:
         try:
             return T.padded(load(name), T.REGISTRY)
-        except missing:
-            continue
+        except (AnalysisException, Py4JJavaError) as error:
+            if not missing(error):
+                raise
     raise ValueError(f"no registry table in {path}; looked for {', '.join(REGISTRY_TABLES)}")
 
 
 def read_filelists(spark: SparkSession, folder: str, licenses: tuple[str, ...] = ("comm", "noncomm")) -> DataFrame:
-    """The CSV filelists of each license, all columns as text; the license comes from the file's name."""
+    """The CSV filelists of each license, all columns as text; the license comes from the file's name.
+
+    Files may order or spell their columns differently: those with one header are one scan.
+    """
     parts = []
     for license_type in licenses:
         pattern = f"oa_{license_type}_xml.PMC*.baseline.*.filelist.csv"
         paths = list_files(spark, folder, pattern)
-        if paths:
-            raw = spark.read.option("header", "true").csv(paths)
+        by_header: dict[tuple[str, ...], list[str]] = {}
+        for path in paths:  # some dozen files; only a header is read
+            by_header.setdefault(tuple(spark.read.option("header", "true").csv(path).columns), []).append(path)
+        for same in by_header.values():
+            raw = spark.read.option("header", "true").csv(same)
             raw = raw.toDF(*[c.replace("Accession ID", "AccessionID") for c in raw.columns])
             parts.append(T.padded(raw.withColumn("license", F.regexp_extract(F.input_file_name(), r"oa_([a-z]+)_xml[^/]*$", 1)), T.FILELIST))
     if not parts:

@@ -1,10 +1,12 @@
+import csv
 import os
 
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from benefactor import cli
-from benefactor.operators import dashboard, metrics
+from benefactor.operators import dashboard, metrics, suggest
 from benefactor.operators.aliases import AliasDictionary
 from benefactor.plans.derive import derived
 from benefactor.reports import latex
@@ -80,7 +82,67 @@ def test_programs_end_to_end(spark, store, tmp_path):
     text = open(f"{out}/table.tex").read()
     assert text.count("\\cellcolor") == 10 and text.endswith("\\endgroup")
     cli.main(["plot", "--input-dir", f"{out}/t", "--output-dir", f"{out}/p", "--format", "svg", "--separate-legends"], spark)
-    assert any(name.endswith(".svg") for name in os.listdir(f"{out}/p"))
+    drawn = open(f"{out}/p/funder_counts_by_year.svg").read()
+    assert "<circle" in drawn and "<polygon" in drawn  # markers by rank
+    assert "<polygon" in open(f"{out}/p/funder_counts_by_year_legend.svg").read()
+
+
+def test_suggestions_are_written(spark, tmp_path):
+    names = [("NSF, the big one", 5000), ("NSF", 9000), ("Nowhere, Inc", 4000), ("rare", 10)]
+    with open(tmp_path / "found.csv", "w", newline="") as file:
+        csv.writer(file).writerows([("name", "count"), *names])
+    cli.main(["suggest", "--discovered", str(tmp_path / "found.csv"), "--output", str(tmp_path / "more.csv")], spark)
+    with open(tmp_path / "more.csv", newline="") as file:
+        header, *got = csv.reader(file)
+    assert header == ["discovered_name", "count", "potential_canonical", "num_matches"]
+    want = suggest.suggest_aliases(spark.createDataFrame(names, schemas.DISCOVERED), D).collect()
+    assert got == [[str(v) for v in row] for row in want] and ["Nowhere, Inc", "4000", "NEW_FUNDER", "0"] in got
+    assert sinks.write_csv(spark.range(20000).orderBy(F.desc("id")), str(tmp_path / "long.csv")) == 20000
+    assert open(tmp_path / "long.csv").read().split() == ["id", *map(str, range(19999, -1, -1))]
+
+
+def test_filelists_with_other_headers(spark, tmp_path):
+    for name, header, row in (("a", "File,Accession ID,PMID", "x,PMC1,11"), ("b", "PMID,AccessionID,File", "22,PMC2,y")):
+        (tmp_path / f"oa_comm_xml.PMC00{name}xxxxxx.baseline.2025-06-01.filelist.csv").write_text(f"{header}\n{row}\n")
+    got = readers.read_filelists(spark, str(tmp_path), ("comm",)).select("File", "AccessionID", "PMID", "license").collect()
+    assert sorted(map(tuple, got)) == [("x", "PMC1", "11", "comm"), ("y", "PMC2", "22", "comm")]
+
+
+def test_registry_from_a_database(spark):
+    url = "jdbc:derby:memory:registry"
+    connection = spark._jvm.java.sql.DriverManager.getConnection(f"{url};create=true")
+    connection.createStatement().execute('create table pmcids ("pmcid" varchar(20), "article_type" varchar(40))')
+    connection.createStatement().execute("insert into pmcids values ('PMC1', 'research-article'), ('PMC2', null)")
+    got = readers.read_registry(spark, url)  # the first known name is missing there
+    assert sorted(map(tuple, got.collect())) == [("PMC1", "research-article"), ("PMC2", None)]
+    connection.createStatement().execute("drop table pmcids")
+    connection.close()
+    with pytest.raises(ValueError):
+        readers.read_registry(spark, url)
+    with pytest.raises(Exception, match="not found") as fault:  # a database that is not there is no missing table
+        readers.read_registry(spark, "jdbc:derby:memory:elsewhere")
+    assert not isinstance(fault.value, ValueError)
+
+
+def test_written_rows_are_compared(spark, tmp_path, monkeypatch):
+    df = spark.range(50).select("id", (F.col("id") % 3).cast("int").alias("part"))
+    assert sinks.write_parquet_verified(df, str(tmp_path / "a"), ("part",))[0] == 50
+    other = spark.range(49).select("id", F.lit(1).alias("part"))
+    other.write.parquet(str(tmp_path / "other"))
+    back = spark.read.parquet(str(tmp_path / "other"))
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, path: back)
+    with pytest.raises(RuntimeError, match="49 rows, not 50"):
+        sinks.write_parquet_verified(df, str(tmp_path / "b"))
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, path: back.withColumn("id", F.col("id").cast("int")))
+    with pytest.raises(RuntimeError, match="types"):
+        sinks.write_parquet_verified(df, str(tmp_path / "c"))
+
+
+def test_percentages_of_a_cube(spark):
+    t = derived(spark, DATA)
+    cube = metrics.trend_cube(t["articles"], t["detections"], t["registry"], D)
+    joined = metrics.trend_percentages(metrics.trend_counts(cube), metrics.trend_totals(cube))
+    assert sorted(map(tuple, metrics.cube_percentages(cube).collect())) == sorted(map(tuple, joined.collect()))
 
 
 def test_table_cells(spark):
