@@ -34,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -417,27 +418,32 @@ def _roots(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["c", "p"])
 
 
-def _earlier(x: Column, y: Column) -> Column:
+#: A value of a document or hub by its name.
+Value = Callable[[str], Column]
+
+
+def _earlier(x: Value, y: Value, a: Column, b: Column) -> Column:
     """For a document and a hub the value of the document whose prefix ends earlier in the order; the greater one if they end alike."""
-    return F.when(F.col("ex") < F.col("ey"), x).when(F.col("ey") < F.col("ex"), y).otherwise(F.greatest(x, y))
+    return F.when(x("edge") < y("edge"), a).when(y("edge") < x("edge"), b).otherwise(F.greatest(a, b))
 
 
-def _fits(params: JoinParams) -> Column:
+def _fits(x: Value, y: Value, params: JoinParams) -> Column:
     """Whether the overlap that can be reached at most is enough for the sizes."""
-    sizes = F.least("nx", "ny") * params.denominator >= F.greatest("nx", "ny") * params.numerator
-    most = F.least(_earlier(F.col("rx"), F.col("ry")), "nx", "ny")
-    return sizes & (most * (params.denominator + params.numerator) >= (F.col("nx") + F.col("ny")) * params.numerator)
+    low = F.least(x("n"), y("n"))
+    sizes = low * params.denominator >= F.greatest(x("n"), y("n")) * params.numerator
+    most = F.least(_earlier(x, y, x("reach"), y("reach")), low)
+    return sizes & (most * (params.denominator + params.numerator) >= (x("n") + y("n")) * params.numerator)
 
 
-def _need(params: JoinParams) -> Column:
+def _need(x: Value, y: Value, params: JoinParams) -> Column:
     """Prefix entries that a pair must share: the lesser demand of the two, and what the overlap
     that the sizes ask for has beyond the suffix of the prefix that ends earlier."""
 
-    def rest(n: str, match: str) -> Column:
-        return F.ceil(F.col(n) * params.numerator / params.denominator - 1e-9) - F.col(match)
+    def rest(of: Value) -> Column:
+        return F.ceil(of("n") * params.numerator / params.denominator - 1e-9) - of("match")
 
-    overlap = F.ceil((F.col("nx") + F.col("ny")) * params.numerator / (params.denominator + params.numerator) - 1e-9)
-    return F.greatest(F.least("mx", "my"), overlap - _earlier(rest("nx", "mx"), rest("ny", "my")))
+    overlap = F.ceil((x("n") + y("n")) * params.numerator / (params.denominator + params.numerator) - 1e-9)
+    return F.greatest(F.least(x("match"), y("match")), overlap - _earlier(x, y, rest(x), rest(y)))
 
 
 def components(docs: DataFrame, reps: DataFrame, entries: DataFrame, params: JoinParams) -> DataFrame:
@@ -486,22 +492,41 @@ def _collapsed(entries: DataFrame) -> DataFrame:
 def _to_hubs(marked: DataFrame, turn: int, params: JoinParams) -> DataFrame:
     """x and y: for each document the hubs of other components with which it shares most entries.
 
-    A bucket's documents are dealt into `hubs` slots by a hash; the least hash of each is a hub.
+    A bucket's documents are dealt into `hubs` slots by a hash; the least hash of each is a hub. An
+    entry meets its bucket's hubs as one list, and a document's lists are counted inside a task.
     """
     chance = F.xxhash64("doc", F.lit(turn))
     hubs = marked.groupBy("token", F.pmod(chance, F.lit(params.hubs)).alias("slot")).agg(
         F.min(F.struct(chance.alias("p"), "doc", "comp", "n", "match", "edge", "reach")).alias("h")
     )
-    hubs = hubs.select(
-        "token", F.col("h.doc").alias("y"), F.col("h.comp").alias("cy"), F.col("h.n").alias("ny"),
-        F.col("h.match").alias("my"), F.col("h.edge").alias("ey"), F.col("h.reach").alias("ry"),
-    )
-    x = marked.withColumnsRenamed({"doc": "x", "comp": "cx", "n": "nx", "match": "mx", "edge": "ex", "reach": "rx"})
-    met = x.join(hubs, "token").where((F.col("cx") != F.col("cy")) & _fits(params))
-    shared = met.groupBy("x", "y").agg(F.sum("weight").alias("shared"), F.min(_need(params)).alias("need"))
-    enough = shared.where(F.col("shared") >= F.col("need"))
-    best = enough.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "y")), False), 1, params.tries).alias("best"))
-    return best.select("x", F.explode("best.y").alias("y"))
+    lists = hubs.groupBy("token").agg(F.collect_list("h").alias("hubs"))
+    others = F.filter("hubs", lambda h: (F.col("comp") != h["comp"]) & _fits(F.col, h.getField, params))
+    asked = F.transform(others, lambda h: F.struct(h["doc"].alias("y"), _need(F.col, h.getField, params).cast("long").alias("need")))
+    met = marked.join(lists, "token").select(F.col("doc").alias("x"), F.col("weight").cast("long").alias("weight"), asked.alias("asked"))
+    return met.repartition("x").sortWithinPartitions("x").mapInArrow(lambda batches: _nearest(batches, params), "x long, y long")
+
+
+def _nearest(batches, params: JoinParams):
+    """For each document the `tries` hubs with which it shares most, among those with enough: x, y."""
+    for part in blocks.whole(batches):
+        lists = part.column(2)
+        y, need = (c.to_numpy() for c in lists.flatten().flatten())
+        row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+        x, weight = part.column(0).to_numpy()[row], part.column(1).to_numpy()[row]
+        order = np.lexsort((y, x))
+        x, y, need, weight = x[order], y[order], need[order], weight[order]
+        first = np.union1d(_runs(x), _runs(y))
+        if not len(first):
+            continue
+        shared, x, y, need = np.add.reduceat(weight, first), x[first], y[first], need[first]
+        enough = shared >= need
+        shared, x, y = shared[enough], x[enough], y[enough]
+        order = np.lexsort((-y, -shared, x))
+        x, y = x[order], y[order]
+        starts = _runs(x)
+        rank = np.arange(len(x)) - np.repeat(starts, np.diff(starts, append=len(x)))
+        best = rank < params.tries
+        yield pa.RecordBatch.from_arrays([pa.array(x[best]), pa.array(y[best])], ["x", "y"])
 
 
 def _met(marked: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:

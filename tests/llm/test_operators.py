@@ -7,9 +7,10 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from benefactor.llm import fingerprints, hashing, langid, license_scan, line_dedup, mixing, ngram_join, ogg, packing, secret_scan, toxicity
+from benefactor.llm import blocks, fingerprints, hashing, langid, license_scan, line_dedup, mixing, ngram_join, ogg, packing, secret_scan, toxicity
 from benefactor.llm.oracles import oracle_sql
 from benefactor.llm.queries import queries
 
@@ -138,6 +139,71 @@ def test_join_of_dense_groups(spark, rounds, table, others):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(rows, 3, 80)
 
 
+def join_rows(df):
+    """The rows that each join of a DataFrame makes when it runs."""
+    df.collect()
+    todo, made = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        else:
+            if "Join" in name:
+                made.append(node.metrics().apply("numOutputRows").value())
+            children = node.children().iterator()
+            while children.hasNext():
+                todo.append(children.next())
+    return made
+
+
+def test_hubs_of_a_large_group(spark):
+    """Each document's best hubs, by a model in Python; an entry makes one row, however many hubs its bucket has."""
+    rng = np.random.default_rng(3)
+    own = {d: (d - d % 2, 100 + d % 30, 3 + d % 4, int(rng.integers(40)), 90 + d % 11) for d in range(300)}
+    entries = [(t, d, *own[d], 1 + t % 3) for d in own for t in range(12) if rng.random() < 0.8]
+    marked = spark.createDataFrame(entries, "token long, doc long, comp long, n int, match int, edge long, reach int, weight long").repartition(3).localCheckpoint()
+    params = ngram_join.JoinParams()
+    pairs = ngram_join._to_hubs(marked, 0, params)
+    chance = {r["doc"]: r["c"] for r in spark.range(300).selectExpr("id as doc", "xxhash64(id, 0) as c").collect()}
+    hubs, shared, need = {}, Counter(), {}
+    for t, d, *_ in entries:
+        key = t, chance[d] % params.hubs
+        hubs[key] = min(hubs.get(key, d), d, key=chance.get)
+    for t, x, *_, weight in entries:
+        for slot in range(params.hubs):
+            if (y := hubs.get((t, slot))) is None:
+                continue
+            (cx, nx, mx, ex, rx), (cy, ny, my, ey, ry) = own[x], own[y]
+
+            def earlier(a, b, ex=ex, ey=ey):
+                return a if ex < ey else b if ey < ex else max(a, b)
+
+            both = (nx + ny) * params.numerator
+            sizes = min(nx, ny) * 100 >= max(nx, ny) * params.numerator
+            if cx != cy and sizes and min(earlier(rx, ry), nx, ny) * (100 + params.numerator) >= both:
+                shared[x, y] += weight
+                rest = earlier(-(-nx * params.numerator // 100) - mx, -(-ny * params.numerator // 100) - my)
+                need[x, y] = max(min(mx, my), -(-both // (100 + params.numerator)) - rest)
+    best = {x: sorted(((n, y) for (d, y), n in shared.items() if d == x and n >= need[x, y]), reverse=True)[: params.tries] for x in own}
+    assert sorted(map(tuple, pairs.collect())) == sorted((x, y) for x, found in best.items() for _, y in found)
+    assert sum(map(len, best.values())) > 300
+    made = join_rows(pairs)
+    assert made and max(made) <= len(entries)
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 100])
+def test_batches_end_where_a_document_does(size):
+    keys = [1, 1, 1, 2, 3, 3, 3, 3, 3, 4, 7, 7]
+    table = pa.table({"x": pa.array(keys, pa.int64()), "i": pa.array(range(len(keys)), pa.int64())})
+    parts = list(blocks.whole(iter(table.to_batches(max_chunksize=size))))
+    assert [i for p in parts for i in p["i"].to_pylist()] == list(range(len(keys)))
+    held = [set(p["x"].to_pylist()) for p in parts]
+    assert sum(map(len, held)) == len(set(keys))
+
+
 def test_texts_under_one_id_and_without(spark):
     """Each text has its own links, whatever ids the rows have; keep_one goes by texts."""
     words = [f"w{i}" for i in range(200)]
